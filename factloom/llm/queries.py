@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.leakage import find_leaks
+from factloom.llm.neardup import near_groups, near_pairs
 from factloom.llm.spans import shared_spans
 from factloom.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of functions whose bodies nearly agree."""
+    pairs = near_pairs(table(spark, sf, "function_facts"), "fact_id", "decompilation")
+    return pairs.select(F.col("a").alias("fact_id_a"), F.col("b").alias("fact_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each function with near duplicates, its group and the number of its links."""
+    groups = near_groups(table(spark, sf, "function_facts"), "fact_id", "decompilation")
+    return groups.select(F.col("id").alias("fact_id"), "group_id", "n_links")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold 13 or more consecutive words of an evaluation item."""
     pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
@@ -29,5 +42,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(table(spark, sf, "documents")).select("doc_id", F.col("shared").alias("shared_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_leaks, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p9_found, p9_leaks, p10_found)}
 ORACLES: dict[str, str] = {}
