@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.names import address_or_text, canonical_predicate, says_something, squeeze
 from factloom.llm.leakage import find_leaks
 from factloom.llm.neardup import near_groups, near_pairs
+from factloom.llm.packing import fills, pack
 from factloom.llm.spans import shared_spans
+from factloom.llm.survivors import judged_values, survivors
 from factloom.session import table
 
 
@@ -23,6 +26,45 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select(F.col("id").alias("fact_id"), "group_id", "n_links")
 
 
+FUNCTION_FACTS = ("has_name", "has_signature", "calling_convention", "size_bytes")
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "observations").withColumn("predicate", canonical_predicate(F.col("predicate")))
+    return rows.where(F.col("predicate").isin(*FUNCTION_FACTS)).select(
+        "id", address_or_text(F.col("subject")).alias("subject"), "predicate", squeeze(F.col("value")).alias("value"),
+        "confidence", "source", "created_at", says_something(F.col("value")).alias("says"),
+    )
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving rows of each function's facts."""
+    return survivors(_facts(spark, sf)).select("first_id", "value_id", "created_id")
+
+
+def p3_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving record of each group, with every value judged true."""
+    return survivors(_facts(spark, sf)).select(
+        "subject", "predicate", "value", F.round("probability", 4).alias("probability"), F.array_join("true_values", " | ").alias("true_values")
+    )
+
+
+def p3_true_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stated value with the probability that it is true, by predicate and rounded probability."""
+    values = judged_values(_facts(spark, sf).where("source is not null"))
+    return values.groupBy("predicate", F.round("probability", 1).alias("probability")).agg(F.count("*").alias("n_values"))
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in a container of 2,048 tokens."""
+    return pack(table(spark, sf, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full each container is."""
+    return fills(pack(table(spark, sf, "documents"))).withColumn("unused", 2048 - F.col("used"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold 13 or more consecutive words of an evaluation item."""
     pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
@@ -42,5 +84,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(table(spark, sf, "documents")).select("doc_id", F.col("shared").alias("shared_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p9_found, p9_leaks, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_records, p3_true_values, p8_pack, p8_fill, p9_found, p9_leaks, p10_found)}
 ORACLES: dict[str, str] = {}
