@@ -39,18 +39,19 @@ def characteristic_sets(
         for n in names
     ]
     bits = F.bit_or(reduce(lambda c, i: c.when(F.col("_a") == names[i], 1 << i), range(1, len(names)), F.when(F.col("_a") == names[0], 1)))
-    dense = read.groupBy("_e").agg(bits.alias("_sig"), *picks).select("_sig", "_e", *(F.col(f"{n}.v").alias(n) for n in names))
+    dense = read.groupBy("_e").agg(bits.alias("_sig"), *picks).select("_sig", F.col("_e").alias(entity), *(F.col(f"{n}.v").alias(n) for n in names))
     path = shared_path(spark, "sets")
-    dense.repartition("_sig", F.pmod(F.xxhash64("_e"), F.lit(_spread(spark)))).write.partitionBy("_sig").parquet(path)
+    dense.repartition("_sig", F.pmod(F.xxhash64(entity), F.lit(_spread(spark)))).write.partitionBy("_sig").parquet(path)
     types = {f.name: f.dataType for f in dense.schema.fields}
     present = sorted(r[0] for r in spark.read.parquet(path).select("_sig").distinct().collect())
-    empty = spark.createDataFrame([], T.StructType([T.StructField(entity, types["_e"])] + [T.StructField(n, types[n]) for n in names]))
     tables = []
     for sig in present:
-        own = [n for i, n in enumerate(names) if sig >> i & 1]
-        schema = T.StructType([T.StructField("_e", types["_e"])] + [T.StructField(n, types[n]) for n in own])
-        tables.append(spark.read.schema(schema).parquet(f"{path}/_sig={sig}").withColumnRenamed("_e", entity))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, empty)
+        own = [T.StructField(n, types[n]) for i, n in enumerate(names) if sig >> i & 1]
+        tables.append(spark.read.schema(T.StructType([T.StructField(entity, types[entity]), *own])).parquet(f"{path}/_sig={sig}"))
+    tables.append(spark.createDataFrame([], T.StructType([T.StructField(entity, types[entity]), *(T.StructField(n, types[n]) for n in names)])))
+    while len(tables) > 1:  # pairwise, so that no plan is deep
+        tables = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables[i : i + 2]) for i in range(0, len(tables), 2)]
+    return tables[0].select(entity, *names)
 
 
 def _spread(spark) -> int:
