@@ -43,7 +43,7 @@ def characteristic_sets(
     path = shared_path(spark, "sets")
     dense.repartition("_sig", F.pmod(F.xxhash64(entity), F.lit(_spread(spark)))).write.partitionBy("_sig").parquet(path)
     types = {f.name: f.dataType for f in dense.schema.fields}
-    present = sorted(r[0] for r in spark.read.parquet(path).select("_sig").distinct().collect())
+    present = sorted(r[0] for r in spark.read.schema("_sig int").parquet(path).select("_sig").distinct().collect())
     tables = []
     for sig in present:
         own = [T.StructField(n, types[n]) for i, n in enumerate(names) if sig >> i & 1]
