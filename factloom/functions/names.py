@@ -67,7 +67,7 @@ def _decode_lengths(t: Column) -> Column:
 
 def canonical_class(c: Column) -> Column:
     """``ns::Name`` without keyword, blanks, leading ``::`` or type-name encoding; null if blank."""
-    t = F.regexp_replace(squeeze(c), r"^(?:class|struct|union|enum)\s+", "")
+    t = F.regexp_replace(squeeze(c), r"^(?:(?:class|struct|union|enum|public|protected|private|virtual|typename|const)\s+)+", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\s*::\s*", "::"), r"^(?:::)+", "")
     encoded = F.regexp_extract(t, r"^(?:_*Z?T[ISV])?N?(\d+[A-Za-z_].*)$", 1)
     at = F.regexp_extract(t, r"^\.?\?A[VUT](.+?)@*$", 1)

@@ -63,7 +63,7 @@ def decoded(t: str) -> str:
 
 def class_cte(source: str, columns: dict[str, str], keep: str = "", name: str = "rc") -> str:
     """A CTE with canonical class names of the given columns."""
-    clean = {c: rf"regexp_replace(regexp_replace(regexp_replace({squeeze(x)}, '^(class|struct|union|enum)\s+', ''), '\s*::\s*', '::', 'g'), '^(::)+', '')" for c, x in columns.items()}
+    clean = {c: rf"regexp_replace(regexp_replace(regexp_replace({squeeze(x)}, '^((class|struct|union|enum|public|protected|private|virtual|typename|const)\s+)+', ''), '\s*::\s*', '::', 'g'), '^(::)+', '')" for c, x in columns.items()}
     inner = ", ".join(f"{x} AS {c}" for c, x in clean.items())
     outer = ", ".join(rf"CASE WHEN regexp_matches({c}, '^N?\d+[A-Za-z_]') THEN {decoded(c)} WHEN {c} <> '' THEN {c} END AS {c}" for c in columns)
     return f"{name} AS (SELECT {outer}{keep} FROM (SELECT {inner}{keep} FROM {source}))"
