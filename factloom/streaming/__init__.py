@@ -1 +1 @@
-
+"""Arrival of fact documents as micro-batches."""
