@@ -10,8 +10,9 @@ from factloom.session import cut
 SEPARATOR = " > "
 
 
-def _rank(c: Column, turn: int) -> Column:
-    return F.xxhash64(c, F.lit(turn))
+def _rank(c: str) -> Column:
+    """A new rank in each round; the round is a column, so that all rounds run the same compiled code."""
+    return F.xxhash64(F.col(c), F.col("turn"))
 
 
 def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
@@ -32,51 +33,44 @@ def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
     """
     own = links.select(F.col(node).alias("v"), F.col(parent).alias("p")).where(F.col("v").isNotNull())
     own = own.groupBy("v").agg(F.max("p").alias("p"), F.lit(1).cast("bigint").alias("acc"))
-    bare = own.where(F.col("p").isNotNull()).select(F.col("p").alias("v")).distinct().join(own.select("v"), "v", "left_anti")
+    bare = own.where(F.col("p").isNotNull()).select(F.col("p").alias("v")).distinct().hint("merge").join(own.select("v"), "v", "left_anti")
     both = own.unionByName(bare.select("v", F.lit(None).cast("string").alias("p"), F.lit(0).cast("bigint").alias("acc")))
-    both = both.withColumns({"w": F.lit(0).cast("bigint"), "segs": F.array().cast("array<string>"), "row": F.col("acc") == 1})
+    both = both.withColumns({"w": F.lit(0).cast("bigint"), "segs": F.array().cast("array<string>"), "row": F.col("acc") == 1, "turn": F.lit(0)})
     children = both.where(F.col("p").isNotNull()).groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"))
-    core = cut(both.join(children, "v", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    core = cut(both.hint("merge").join(children, "v", "left").withColumn("n", F.coalesce("n", F.lit(0))))
 
     log: list[tuple[DataFrame, DataFrame]] = []
-    turn = 0
     moving = F.col("p").isNotNull() & (F.col("p") != F.col("v"))
     while not core.where(moving).isEmpty():
-        leaf = moving & (F.col("n") == 0)
+        leaf = F.coalesce(moving & (F.col("n") == 0), F.lit(False))
         stats = core.where(F.col("p").isNotNull()).groupBy(F.col("p").alias("v")).agg(
             F.sum(F.when(leaf, F.col("acc") + F.col("w"))).alias("add"),
             F.count(F.when(~leaf, 1)).alias("m"),
             F.min(F.when(~leaf, F.col("v"))).alias("only"),
         )
-        kept = core.where(~F.coalesce(leaf, F.lit(False))).join(stats, "v", "left")
+        kept = core.where(~leaf).hint("merge").join(stats, "v", "left")
         kept = kept.withColumns({"acc": F.col("acc") + F.coalesce("add", F.lit(0)), "n": F.coalesce("m", F.lit(0))}).drop("add", "m")
-        mine = _rank(F.col("v"), turn)
-        picked = moving & (F.col("n") == 1) & (mine > _rank(F.col("p"), turn)) & (mine > _rank(F.col("only"), turn))
+        mine = _rank("v")
+        picked = moving & (F.col("n") == 1) & (mine > _rank("p")) & (mine > _rank("only"))
         kept = cut(kept.withColumn("go", F.coalesce(picked, F.lit(False))))
-        gone = kept.where("go").select(
-            F.col("only").alias("v"), F.col("v").alias("gv"), F.col("p").alias("gp"), F.col("acc").alias("gacc"), F.col("w").alias("gw"), F.col("segs").alias("gsegs")
-        )
-        moved = F.col("gv").isNotNull()
-        stay = kept.where("not go").join(gone, "v", "left")
+        gone = kept.where("go").select(F.col("only").alias("v"), *(F.col(c).alias(f"g{c}") for c in ("v", "p", "acc", "w", "segs", "row")))
+        stay = cut(kept.where("not go").drop("go", "only").hint("merge").join(gone, "v", "left"))
         # what each compressed node needs to come back: its edge to the parent, and the child's edge to it
-        # (null too where a picked node has no such child left: then it was no candidate)
+        moved = F.col("gv").isNotNull()
         squeezed = stay.where(moved).select(
-            F.col("gv").alias("v"), F.col("gp").alias("p"), F.col("v").alias("c"), F.col("gacc").alias("acc"), F.col("w").alias("cw"), F.col("gsegs").alias("segs")
+            F.col("gv").alias("v"), F.col("gp").alias("p"), F.col("v").alias("c"), F.col("gacc").alias("acc"), F.col("w").alias("cw"), F.col("gsegs").alias("segs"), F.col("grow").alias("row")
         )
-        rows = kept.where("go").select("v", "row")
-        log.append((cut(core.where(leaf).select("v", "p", "acc", "segs", "row")), cut(squeezed.join(rows, "v"))))
-        core = cut(
-            stay.select(
-                "v",
-                F.when(moved, F.col("gp")).otherwise(F.col("p")).alias("p"),
-                "acc",
-                F.when(moved, F.col("w") + F.col("gacc") + F.col("gw")).otherwise(F.col("w")).alias("w"),
-                F.when(moved, F.concat("gsegs", F.array("gv"), "segs")).otherwise(F.col("segs")).alias("segs"),
-                "row",
-                "n",
-            )
+        log.append((core.where(leaf).select("v", "p", "acc", "segs", "row"), squeezed))
+        core = stay.select(
+            "v",
+            F.when(moved, F.col("gp")).otherwise(F.col("p")).alias("p"),
+            "acc",
+            F.when(moved, F.col("w") + F.col("gacc") + F.col("gw")).otherwise(F.col("w")).alias("w"),
+            F.when(moved, F.concat("gsegs", F.array("gv"), "segs")).otherwise(F.col("segs")).alias("segs"),
+            "row",
+            (F.col("turn") + 1).alias("turn"),
+            "n",
         )
-        turn += 1
 
     loop = F.col("p").isNotNull()
     done = core.select(
@@ -105,10 +99,10 @@ def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
         above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
         under = done.select(F.col("v").alias("c"), F.col("state").alias("c_state"), F.col("total").alias("c_total"))
         cyclic = F.col("c_state") == "cycle"
-        back = squeezed.join(above, "p").join(under, "c").select(*below(F.col("acc") + F.col("cw") + F.col("c_total"), cyclic))
-        done = cut(done.unionByName(back))
+        back = squeezed.hint("merge").join(above, "p").hint("merge").join(under, "c").select(*below(F.col("acc") + F.col("cw") + F.col("c_total"), cyclic))
+        done = done.unionByName(back)
         above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
-        done = cut(done.unionByName(raked.join(above, "p").select(*below(F.col("acc"), F.lit(False)))))
+        done = cut(done.unionByName(raked.hint("merge").join(above, "p").select(*below(F.col("acc"), F.lit(False)))))
     return done.where("row").select(
         F.col("v").alias("node"), "root", "depth", "state", "path", (F.col("total") - 1).cast("int").alias("descendants")
     )

@@ -27,9 +27,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget how it was made."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to a table in the shared folder and read it from there.
+
+    Later steps so begin at files that outlive any executor, with the sizes that they really have; a plan that
+    keeps the estimates of its origin would multiply them with every join of a loop.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
