@@ -7,10 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from factloom.plans import oracles, problems, reference
+from factloom.plans import inventory, oracles, problems, reference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = reference.QUERIES | problems.QUERIES
+QUERIES = reference.QUERIES | inventory.QUERIES | problems.QUERIES
+ORACLES = oracles.ORACLES | inventory.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -31,8 +32,8 @@ def test_query(spark, db, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     mine = Counter(tuple(plain(v) for v in r) for r in got.select(*columns).collect())
-    if name in oracles.ORACLES:
-        theirs = db.execute(f"SELECT {', '.join(columns)} FROM ({oracles.ORACLES[name]})").fetchall()
+    if name in ORACLES:
+        theirs = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
         assert mine == Counter(tuple(plain(v) for v in r) for r in theirs)
 
 
