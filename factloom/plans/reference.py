@@ -321,8 +321,8 @@ def a14_name_collisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _functions(spark, sf).where("name is not null and subject is not null").select(
         "name", F.coalesce(F.regexp_extract("signature", r"\((.*)\)", 1), F.lit("")).alias("params"), "subject"
     ).distinct()
-    n = F.count("*").over(W.partitionBy("name", "params"))
-    return rows.withColumn("n", n).where("n > 1").select("subject", "name", "params", "n", F.concat_ws("_", "name", F.substring("subject", 3, 16)).alias("distinct_name"))
+    often = rows.groupBy("name", "params").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(often, ["name", "params"]).select("subject", "name", "params", "n", F.concat_ws("_", "name", F.substring("subject", 3, 16)).alias("distinct_name"))
 
 
 def a16_field_candidates(spark: SparkSession, sf: str) -> DataFrame:

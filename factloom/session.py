@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="factloom-")
     spark.sparkContext.setCheckpointDir(named)
@@ -37,9 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table beside the checkpoints."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has written to the shared folder.
+
+    To be called when the results that were built on them have been stored or used.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
