@@ -71,6 +71,7 @@ def fill(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) -> t
 def pack(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str | None = None,
     linear: float = 1.0, quadratic: float = 1 / 2048, group_tokens: int = 4_000_000,
+    group_rows: int = 50_000,
 ) -> DataFrame:
     """(doc, part, container, place, tokens): where each document's tokens lie.
 
@@ -78,14 +79,14 @@ def pack(
     a rest, which is an item like others.  Empty texts are items of no tokens.  Each row of docs is an item; rows
     with a null doc are packed too.
 
-    The items are dealt by hash into groups of about group_tokens tokens, as many as the corpus needs, so that
-    every group has a bounded size and leaves at most one container poorly filled; a group is packed in one task.
+    The items are dealt by hash into groups of about group_tokens tokens and group_rows items at most, as many as
+    the corpus needs, so that every group has a bounded size and leaves at most one container poorly filled; a group is packed in one task.
     """
     counts = cut(token_counts(docs, doc, text, tokenizer).withColumn("row", F.monotonically_increasing_id()))
     full = F.when(F.col("tokens") > capacity, F.floor(F.col("tokens") / capacity)).otherwise(0).cast("int")
     sized = counts.withColumn("full", full).withColumn("rest", F.col("tokens") - F.col("full") * capacity)
-    total = counts.agg(F.sum("tokens")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    total, rows = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // group_tokens), -(-rows // group_rows))
     kind = counts.schema["doc"].dataType.simpleString()
 
     def packed(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
