@@ -45,12 +45,17 @@ OWNERLESS = (
 )
 
 
-def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """All observations with canonical subjects and predicates, each row once."""
-    return table(spark, sf, "observations").select(
+def observations(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
+    """All observations with canonical subjects and predicates.
+
+    once: rows that were delivered twice come once.  That shuffles the whole table, so it is left to queries that
+    count or list rows; maxima, sets and semi-joins don't need it, and their filters reach the scan.
+    """
+    rows = table(spark, sf, "observations").select(
         "id", address_or_text(F.col("subject")).alias("subject"), canonical_predicate(F.col("predicate")).alias("predicate"),
         "value", "confidence", "source", "status", "created_at", "superseded_by",
-    ).distinct()
+    )
+    return rows.distinct() if once else rows
 
 
 def hypotheses(spark: SparkSession, sf: str) -> DataFrame:

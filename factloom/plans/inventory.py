@@ -27,7 +27,7 @@ def f7_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 def f18_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     """Stated names that can't stand as an identifier."""
-    names = V.facts(V.observations(spark, sf), "has_name").select(squeeze(F.col("value")).alias("name"))
+    names = V.facts(V.observations(spark, sf, once=True), "has_name").select(squeeze(F.col("value")).alias("name"))
     return names.where(~F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$")).groupBy("name").agg(F.count("*").alias("n"))
 
 

@@ -46,7 +46,7 @@ def f1_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 def f3_live_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Active observations and their subjects per predicate."""
-    live = V.observations(spark, sf).where("status = 'ACTIVE'")
+    live = V.observations(spark, sf, once=True).where("status = 'ACTIVE'")
     return live.groupBy("predicate").agg(F.count("*").alias("n_facts"), F.countDistinct("subject").alias("n_subjects"))
 
 
@@ -136,7 +136,7 @@ def j1_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Supporting evidence of each hypothesis with the observation behind it; dangling ids fall away."""
     ev = table(spark, sf, "evidence")
     cited = split_values(table(spark, sf, "hypotheses"), ["id"], "supporting_evidence", ev)
-    obs = V.observations(spark, sf).select(F.col("id").alias("observation_id"), "subject", "predicate")
+    obs = V.observations(spark, sf, once=True).select(F.col("id").alias("observation_id"), "subject", "predicate")
     held = ev.select(F.col("id").alias("value"), "observation_id").dropDuplicates(["value"])
     return cited.join(held, "value").join(obs, "observation_id").select(
         F.col("id").alias("hypothesis_id"), "pos", F.col("value").alias("evidence_id"), "observation_id", "subject", "predicate"
@@ -190,7 +190,7 @@ def j5_sibling_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 def j6_supersessions(spark: SparkSession, sf: str) -> DataFrame:
     """Superseded observations with the newest active one of the same subject and predicate."""
-    obs = V.observations(spark, sf).where("subject is not null and predicate is not null")
+    obs = V.observations(spark, sf, once=True).where("subject is not null and predicate is not null")
     newest = obs.where("status = 'ACTIVE'").groupBy("subject", "predicate").agg(F.max("id").alias("newest_id"))
     return obs.where("status = 'SUPERSEDED'").join(newest, ["subject", "predicate"]).select("id", "superseded_by", "newest_id")
 
@@ -488,7 +488,7 @@ def m22_retries(spark: SparkSession, sf: str) -> DataFrame:
 
 def c1_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """What an analysis of each subject with hypotheses would be told: its facts, hypotheses and rejections, as counts."""
-    obs = V.observations(spark, sf).where("predicate <> 'agent_flagged_contradiction'")
+    obs = V.observations(spark, sf, once=True).where("predicate <> 'agent_flagged_contradiction'")
     hyp = V.hypotheses(spark, sf).groupBy("subject").agg(
         F.count("*").alias("n_hypotheses"), F.count(F.when(F.col("rejection_reason").isNotNull(), 1)).alias("n_reasons"),
         F.array_join(F.sort_array(F.collect_set("status")), ",").alias("statuses"),
