@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from factloom.session import shared_path
 
 MAX_ATTRIBUTES = 12
+#: Dense tables that one plan joins; more are joined in several steps, since every scan costs the driver memory.
+MOST_AT_ONCE = 64
 
 
 def characteristic_sets(
@@ -24,7 +26,7 @@ def characteristic_sets(
 
     One hash aggregation (combined before the shuffle, so a hot entity costs one row a task) makes the dense
     record and the entity's exact attribute-set signature.  The records are written once, split by signature;
-    each signature's dense table is read with its own columns only, and the tables are joined by name.
+    each signature's dense table is read with its own columns only, and the tables are joined by name, 64 at a time.
     At most 2**12 signatures can exist, since the attributes are named by the caller and limited to 12.
     """
     if not 0 < len(columns) <= MAX_ATTRIBUTES:
@@ -44,14 +46,16 @@ def characteristic_sets(
     dense.repartition("_sig", F.pmod(F.xxhash64(entity), F.lit(_spread(spark)))).write.partitionBy("_sig").parquet(path)
     types = {f.name: f.dataType for f in dense.schema.fields}
     present = sorted(r[0] for r in spark.read.schema("_sig int").parquet(path).select("_sig").distinct().collect())
-    tables = []
-    for sig in present:
-        own = [T.StructField(n, types[n]) for i, n in enumerate(names) if sig >> i & 1]
-        tables.append(spark.read.schema(T.StructType([T.StructField(entity, types[entity]), *own])).parquet(f"{path}/_sig={sig}"))
-    tables.append(spark.createDataFrame([], T.StructType([T.StructField(entity, types[entity]), *(T.StructField(n, types[n]) for n in names)])))
-    while len(tables) > 1:  # pairwise, so that no plan is deep
-        tables = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables[i : i + 2]) for i in range(0, len(tables), 2)]
-    return tables[0].select(entity, *names)
+    whole = T.StructType([T.StructField(entity, types[entity]), *(T.StructField(n, types[n]) for n in names)])
+    empty, out = spark.createDataFrame([], whole), shared_path(spark, "wide")
+    for at in range(0, max(1, len(present)), MOST_AT_ONCE):
+        tables = []
+        for sig in present[at : at + MOST_AT_ONCE]:
+            own = [T.StructField(n, types[n]) for i, n in enumerate(names) if sig >> i & 1]
+            tables.append(spark.read.schema(T.StructType([T.StructField(entity, types[entity]), *own])).parquet(f"{path}/_sig={sig}"))
+        joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, empty)
+        joined.select(entity, *names).write.mode("append").parquet(out)
+    return spark.read.schema(whole).parquet(out)
 
 
 def _spread(spark) -> int:
