@@ -16,16 +16,15 @@ from factloom.session import cut
 _U = np.uint64
 _BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _WORD = np.array([chr(c).isalnum() or c == 95 for c in range(128)] + [False])
-_DIGIT = np.array([chr(c).isdigit() for c in range(128)] + [False])
 #: Bits of a shingle's hash that stay beside the number of its text in a slice.
 _BITS = 54
 _SLICE = 1 << (63 - _BITS)
-#: Weight of a shingle without a telling token (one with two digits or more: an address, offset or constant).
-COMMON = 0.02
+#: Words of 64 bits in a sketch, one bit for each of the first registers.
+_SKETCH = 4
 
 
-def shingles(texts: list[str], size: int, kept: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys ``text << 54 | hash``, weight of each, tokens of each text).
+def shingles(texts: list[str], size: int, kept: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys ``text << 54 | hash``, tokens of each text).
 
     A token is a maximal run of ASCII letters, digits and underscores, or any other single non-blank character.
     """
@@ -45,18 +44,14 @@ def shingles(texts: list[str], size: int, kept: Powers) -> tuple[np.ndarray, np.
     text = np.searchsorted(bounds, start, side="right") - 1
     tokens = np.bincount(text, minlength=len(texts))
     value = span_hashes(prefix_sums(points.astype(_U) + _U(1), kept), start, end, kept)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[np.minimum(points, 128)])))
-    telling = digits[end] - digits[start] >= 2
     n = len(start) - size + 1
     if n <= 0:
-        return np.empty(0, _U), np.empty(0), tokens
-    h, some = np.zeros(n, _U), np.zeros(n, bool)
+        return np.empty(0, _U), tokens
+    h = np.zeros(n, _U)
     for k in range(size):
         h = mix(h * _U(31) + value[k : k + n])
-        some |= telling[k : k + n]
     whole = text[:n] == text[size - 1 :]
-    keys, at = np.unique((text[:n][whole].astype(_U) << _U(_BITS)) | (h[whole] >> _U(64 - _BITS)), return_index=True)
-    return keys, np.where(some[whole][at], 1.0, COMMON), tokens
+    return np.unique((text[:n][whole].astype(_U) << _U(_BITS)) | (h[whole] >> _U(64 - _BITS))), tokens
 
 
 def prob_min_hash(keys: np.ndarray, weights: np.ndarray, n_texts: int, m: int) -> np.ndarray:
@@ -102,9 +97,16 @@ def prob_min_hash(keys: np.ndarray, weights: np.ndarray, n_texts: int, m: int) -
     return won.reshape(n_texts, m)
 
 
+def _sketch(letter: str) -> list[str]:
+    return [f"{letter}{j + 1}" for j in range(_SKETCH)]
+
+
 def _signatures(rows: DataFrame, key: str, text: str, size: int, least: int, bands: int, width: int) -> DataFrame:
-    """(id, n, k1, k2, s1, s2, bands): the set's size and identity, a 128-bit sketch, and the band keys."""
-    m = max(128, bands * width)
+    """(id, n, k1, k2, s1 to s4, bands): the set's size and identity, a 256-bit sketch, and the band keys.
+
+    All shingles weigh the same, so that registers agree with the probability of the overlap that decides.
+    """
+    m = max(64 * _SKETCH, bands * width)
     source = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     kind = source.schema["id"].dataType.simpleString()
 
@@ -113,7 +115,7 @@ def _signatures(rows: DataFrame, key: str, text: str, size: int, least: int, ban
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 for b in batches_of(whole.slice(at, _SLICE), 1, 1_000_000):
-                    keys, weights, tokens = shingles(b.column(1).to_pylist(), size, kept)
+                    keys, tokens = shingles(b.column(1).to_pylist(), size, kept)
                     text_of = (keys >> _U(_BITS)).astype(np.int64)
                     n = np.bincount(text_of, minlength=b.num_rows)
                     keep = np.flatnonzero((tokens >= least) & (n > 0))
@@ -127,21 +129,21 @@ def _signatures(rows: DataFrame, key: str, text: str, size: int, least: int, ban
                     keys = (text_of.astype(_U) << _U(_BITS)) | low
                     cuts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
                     k1, k2 = np.add.reduceat(mix(low), cuts), np.add.reduceat(mix(low + _U(0x5851F42D4C957F2D)), cuts)
-                    sig = prob_min_hash(keys, weights[inside], len(keep), m)
+                    sig = prob_min_hash(keys, np.ones(len(keys)), len(keep), m)
                     band = np.zeros((len(keep), bands), _U)
                     for j in range(width):
                         band = mix(band * _U(31) + sig[:, j : bands * width : width])
                     band = mix(band + np.arange(bands, dtype=_U))
-                    bits = (mix(sig[:, :128]) & _U(1)).reshape(len(keep), 2, 64) << np.arange(64, dtype=_U)
+                    bits = (mix(sig[:, : 64 * _SKETCH]) & _U(1)).reshape(len(keep), _SKETCH, 64) << np.arange(64, dtype=_U)
                     sketch = np.bitwise_or.reduce(bits, axis=2)
                     long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(keep)), pa.array(n[keep].astype(np.int32)), long(k1), long(k2), long(sketch[:, 0]), long(sketch[:, 1]),
+                        [b.column(0).take(pa.array(keep)), pa.array(n[keep].astype(np.int32)), long(k1), long(k2), *(long(sketch[:, j]) for j in range(_SKETCH)),
                          pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), long(band.ravel()))],
-                        ["id", "n", "k1", "k2", "s1", "s2", "bands"],
+                        ["id", "n", "k1", "k2", *_sketch("s"), "bands"],
                     )
 
-    return source.mapInArrow(sign, f"id {kind}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return source.mapInArrow(sign, f"id {kind}, n int, k1 bigint, k2 bigint, {', '.join(f'{c} bigint' for c in _sketch('s'))}, bands array<bigint>")
 
 
 def _meet(rows: DataFrame, key: str, cell: int) -> tuple[DataFrame, DataFrame]:
@@ -169,8 +171,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int,
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 for b in batches_of(whole.slice(at, _SLICE), 2, 1_000_000):
-                    x, _, _ = shingles(b.column(2).to_pylist(), size, kept)
-                    y, _, _ = shingles(b.column(3).to_pylist(), size, kept)
+                    x, _ = shingles(b.column(2).to_pylist(), size, kept)
+                    y, _ = shingles(b.column(3).to_pylist(), size, kept)
                     number = lambda v: np.bincount((v >> _U(_BITS)).astype(np.int64), minlength=b.num_rows)  # noqa: B023, E731
                     both = number(np.intersect1d(x, y, assume_unique=True))
                     union = number(x) + number(y) - both
@@ -182,8 +184,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int,
 
 
 def near_links(
-    rows: DataFrame, key: str, text: str, size: int = 3, threshold: float = 0.6, least: int = 40, bands: int = 42, width: int = 3,
-    differ: int = 48, cell: int = 512,
+    rows: DataFrame, key: str, text: str, size: int = 3, threshold: float = 0.6, least: int = 40, bands: int = 76, width: int = 4,
+    differ: int = 85, cell: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts.
 
@@ -191,9 +193,10 @@ def near_links(
     how many have it.  links: a < b, similarity - the pairs of representatives whose sets of ``size`` consecutive
     tokens overlap by ``threshold`` or more.  Other texts (null and empty ones too) take no part.
 
-    Candidates are pairs that agree in a whole band of ``width`` ProbMinHash registers and whose 128-bit sketches of
-    all registers differ in at most ``differ`` bits (two texts of weighted similarity s differ in 64 (1 - s) on
-    average).  Buckets of any size are joined in full, large ones in a grid of cells; equal sets are one row there.
+    Candidates are pairs that agree in a whole band of ``width`` ProbMinHash registers and whose 256-bit sketches of
+    the first registers differ in at most ``differ`` bits (two texts of similarity s differ in 128 (1 - s) on
+    average).  A pair at similarity 0.6 shares no band with probability 3e-5 and fails the sketch test with 5e-8,
+    whatever the tokens are that differ.  Buckets of any size are joined in full, large ones in a grid of cells; equal sets are one row there.
     Each candidate is then counted exactly.
     """
     signed = cut(_signatures(rows, key, text, size, least, bands, width))
@@ -203,10 +206,11 @@ def near_links(
     reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     banded = reps.select("id", F.explode("bands").alias("key"))
     counts = cut(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    met = cut(banded.join(counts, "key").join(reps.select("id", "s1", "s2"), "id"))
+    met = cut(banded.join(counts, "key").join(reps.select("id", *_sketch("s")), "id"))
     left, right = _meet(met, "key", cell)
-    right = right.select("key", "x", "y", "b", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    close = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= differ
+    right = right.select("key", "x", "y", "b", *(F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)))
+    apart = [F.bit_count(F.col(s).bitwiseXOR(F.col(t))) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)]
+    close = sum(apart[1:], apart[0]) <= differ
     pairs = cut(left.join(right, ["key", "x", "y"]).where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct())
     return members, cut(_verified(pairs, rows, key, text, size, threshold))
 

@@ -75,6 +75,22 @@ def test_near_pairs(spark, bodies, cell):
     assert rows(near_pairs(df, "id", "t", cell=cell)) == sorted(expected, key=str)
 
 
+def test_relocated_bodies(spark):
+    """Copies of a function at other addresses: every token with digits differs, but most triples have none."""
+    rng = random.Random(5)
+    data = []
+    for g in range(40):
+        base = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(200)]
+        for at in range(5, 195, 15 + g % 5):
+            base[at] = None
+        data += [" ".join(w or f"DAT_{rng.randrange(16**8):08x}" for w in base) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(data)), "id bigint, t string")
+    s = sets(enumerate(data))
+    expected = [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])]
+    assert len(expected) == 40
+    assert rows(near_pairs(df, "id", "t")) == sorted(expected, key=str)
+
+
 def test_near_groups(spark, bodies):
     df = spark.createDataFrame(bodies, "id bigint, t string")
     s = sets(bodies)
