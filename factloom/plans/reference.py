@@ -13,6 +13,7 @@ from factloom.operators import views as V
 from factloom.operators.packed import split_values
 from factloom.operators.provenance import provenance, thunks
 from factloom.session import cut, table
+from factloom.sources.facts import document_triples, parsed_documents
 
 ACCEPT, SUPPORT, MOST_ATTEMPTS, CLUSTER, WAVE = 0.85, 0.6, 3, 5, 16
 
@@ -38,9 +39,20 @@ def _triples(spark: SparkSession, sf: str) -> DataFrame:
 
 def f1_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Triples of the function facts that aren't stored yet, with their new ids."""
+    return _new_triples(spark, sf, _triples(spark, sf))
+
+
+def f2_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples of the function facts and of all fact documents that aren't stored yet, with their new ids."""
+    both = _triples(spark, sf).unionByName(document_triples(parsed_documents(table(spark, sf, "fact_documents"), "payload")))
+    once = both.groupBy("subject", "predicate", "value").agg(F.max("confidence").alias("confidence"), F.max("source").alias("source"))
+    return _new_triples(spark, sf, once)
+
+
+def _new_triples(spark: SparkSession, sf: str, triples: DataFrame) -> DataFrame:
     obs = V.observations(spark, sf)
     top = obs.agg(F.max("id")).first()[0] or 0
-    new = _triples(spark, sf).join(obs.select("subject", "predicate", "value").distinct(), ["subject", "predicate", "value"], "left_anti")
+    new = triples.join(obs.select("subject", "predicate", "value").distinct(), ["subject", "predicate", "value"], "left_anti")
     return V.numbered(new, ["subject", "predicate", "value"], top)
 
 
@@ -543,7 +555,7 @@ def t38_field_accesses(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        f1_ingest, f3_live_facts, f4_latest_values, f8_substantive_bodies, f9_empty_bodies, f12_reserved_names, f13_subject_classes, f15_owners, f16_noise,
+        f1_ingest, f2_ingest, f3_live_facts, f4_latest_values, f8_substantive_bodies, f9_empty_bodies, f12_reserved_names, f13_subject_classes, f15_owners, f16_noise,
         f22_accepted_names, f25_labels, f27_symbol_addresses, f28_confident_data, f30_known_callees, j1_evidence, j2_seeds, j3_fingerprint_reuse,
         j4_sibling_slots, j5_sibling_roles, j6_supersessions, j8_restated_roles, j9_call_neighbours, j11_vfunc0, j18_sole_owners, j19_outcomes,
         j23_new_inheritance, j24_class_references, a1_investigation_report, a5_library_ratio, a6_dependents, a7_attempts, a8_coverage, a10_statuses,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +17,15 @@ functions array<struct<{_LINK}, size bigint, signature string, calling_conventio
 strings array<struct<address string, value string>>, imports array<struct<name string, namespace string, address string>>,
 exports array<struct<name string, address string>>, vtables array<struct<class_name string, address string>>,
 virtual_methods array<struct<class_name string, slot int, function_address string>>, inheritance array<struct<derived string, base string>>,
-fields array<struct<class_name string, offset string, type string>>"""
+fields array<struct<class_name string, offset string, type string>>,
+data_objects array<struct<address string, symbol_name string, section string, readable boolean, writable boolean, executable boolean, initialized boolean,
+  data_type string, size bigint, size_confident boolean, bytes_hex string, inside_function string, pointee_address string, pointee_source string, referenced_from array<string>>>"""
+
+#: What is said of a function that stores a class's vtable pointer.
+INSTALLS = (
+    "stores %s's own vtable pointer into `this` early in this function's body -- the Itanium C++ ABI idiom every constructor and "
+    "destructor performs (which of the two this is isn't determined)"
+)
 
 
 def read_fact_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +33,46 @@ def read_fact_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FACT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def _address(x) -> str | None:
+    """The canonical address of a JSON number, text or object with an address or offset; other text as it is."""
+    while isinstance(x, dict):
+        x = x.get("address", x.get("offset"))
+    if isinstance(x, int) and not isinstance(x, bool):
+        return f"0x{x:x}" if x >= 0 else None
+    if not isinstance(x, str):
+        return None
+    m = re.fullmatch(r"(?:0x)?0*([0-9a-f]+)h?", re.sub(r"[\s`_]", "", x).lower())
+    return f"0x{m[1]}" if m else x.strip()
+
+
+def _plain(payload: str) -> str | None:
+    """The document with addresses as canonical text and address lists as lists; null if it is no JSON object."""
+    try:
+        doc = json.loads(payload)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(doc, dict):
+        return None
+    for array in doc.values():
+        for x in array if isinstance(array, list) else ():
+            if isinstance(x, dict):
+                x |= {k: _address(x[k]) for k in ("address", "function_address", "inside_function", "pointee_address") if k in x}
+                for k in ("callers", "callees", "referenced_from"):
+                    if k in x:
+                        x[k] = [a for a in map(_address, x[k] if isinstance(x[k], list) else [x[k]]) if a is not None]
+    return json.dumps(doc)
+
+
+def parsed_documents(docs: DataFrame, payload: str) -> DataFrame:
+    """Fact documents kept as JSON text, of any generation of the extractor, with the columns of FACT_SCHEMA."""
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(_plain, b.column(0).to_pylist()), pa.string())], ["text"])
+
+    texts = docs.select(F.col(payload).alias("text")).where("text is not null").mapInArrow(plain, "text string")
+    return texts.where("text is not null").select(F.from_json("text", FACT_SCHEMA).alias("d")).select("d.*")
+
+
 def document_triples(docs: DataFrame) -> DataFrame:
     """(subject, predicate, value, confidence, source) of every fact array but the cross references.
 
@@ -30,6 +83,8 @@ def document_triples(docs: DataFrame) -> DataFrame:
         return rows.select(F.col(f"x.{subject}").alias("subject"), F.lit(predicate).alias("predicate"), value.alias("value"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
 
     x = lambda c: F.col(f"x.{c}")
+    data = lambda p, v: part("data_objects", "address", f"data_{p}", v, 0.95, "ghidra:data")
+    installs = F.format_string(INSTALLS, x("installs_vtable_of"))
     fn = lambda p, v: part("functions", "address", p, v, 0.95, "ghidra:function")
     parts = [
         fn("has_name", x("name")), fn("has_signature", x("signature")), fn("calling_convention", x("calling_convention")), fn("size_bytes", x("size").cast("string")),
@@ -42,10 +97,18 @@ def document_triples(docs: DataFrame) -> DataFrame:
         part("virtual_methods", "class_name", "has_virtual_method", F.format_string("slot %d: %s", x("slot"), x("function_address")), 0.95, "ghidra:vtable"),
         part("inheritance", "derived", "inherits_from", x("base"), 1.0, "ghidra:rtti"),
         part("fields", "class_name", "has_field_candidate", F.concat_ws(":", x("offset"), x("type")), 0.85, "ghidra:function"),
+        fn("vtable_install_pattern", F.when(x("installs_vtable_of").isNotNull(), installs)),
+        *(data(c, x(c)) for c in ("symbol_name", "section", "bytes_hex", "inside_function")), data("type_name", x("data_type")),
+        *(data(c, x(c).cast("string")) for c in ("readable", "writable", "executable", "initialized")),
+        data("size_bytes", F.when(x("size_confident"), x("size").cast("string"))),
+        data("size_bytes_estimated", F.when(~F.coalesce(x("size_confident"), F.lit(False)), x("size").cast("string"))),
+        data("pointee", F.concat(x("pointee_address"), F.lit(" ("), x("pointee_source"), F.lit(")"))),
     ]
-    for side, predicate in (("callees", "calls"), ("callers", "called_by")):
-        rows = docs.select(F.explode("functions").alias("f")).select(F.col("f.address").alias("subject"), F.explode(f"f.{side}").alias("value"))
-        parts.append(rows.select("subject", F.lit(predicate).alias("predicate"), "value", F.lit(0.95).alias("confidence"), F.lit("ghidra:call_graph").alias("source")))
+    for array, side, predicate, source in (
+        ("functions", "callees", "calls", "ghidra:call_graph"), ("functions", "callers", "called_by", "ghidra:call_graph"), ("data_objects", "referenced_from", "data_referenced_from", "ghidra:data"),
+    ):
+        rows = docs.select(F.explode(array).alias("f")).select(F.col("f.address").alias("subject"), F.explode(f"f.{side}").alias("value"))
+        parts.append(rows.select("subject", F.lit(predicate).alias("predicate"), "value", F.lit(0.95).alias("confidence"), F.lit(source).alias("source")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

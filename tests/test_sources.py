@@ -29,6 +29,33 @@ def test_documents_and_arrivals(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 13
 
 
+def test_data_objects_and_vtables(spark, tmp_path):
+    flags = {"readable": True, "writable": False, "executable": None, "initialized": True}
+    data = {"address": "0x7", "symbol_name": "g", "section": ".data", **flags, "data_type": "int", "size": 4, "size_confident": True, "bytes_hex": "00",
+            "inside_function": "0x1", "pointee_address": "0x8", "pointee_source": "reloc", "referenced_from": ["0x1", "0x2"]}
+    other = {"address": "0x9", "size": 8, "size_confident": False}
+    doc = {"program": "p", "functions": [{"address": "0x1", "installs_vtable_of": "A"}], "data_objects": [data, other]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    got = {(r.subject, r.predicate, r.value) for r in S.document_triples(S.read_fact_documents(spark, str(tmp_path))).collect()}
+    pattern = [v for s, p, v in got if (s, p) == ("0x1", "vtable_install_pattern")]
+    assert len(pattern) == 1 and pattern[0].startswith("stores A's own vtable pointer")
+    stated = {("symbol_name", "g"), ("section", ".data"), ("readable", "true"), ("writable", "false"), ("initialized", "true"), ("type_name", "int"), ("size_bytes", "4"), ("bytes_hex", "00"),
+              ("inside_function", "0x1"), ("pointee", "0x8 (reloc)"), ("referenced_from", "0x1"), ("referenced_from", "0x2")}
+    assert {(s, p, v) for s, p, v in got if p.startswith("data_")} == {("0x7", f"data_{p}", v) for p, v in stated} | {("0x9", "data_size_bytes_estimated", "8")}
+
+
+def test_ingest_of_payloads(spark, tmp_path):
+    from factloom.plans.reference import f2_ingest
+
+    payloads = [json.dumps({"functions": [{"address": {"space": "ram", "offset": 16}, "name": "f", "callers": "0X0020", "callees": [48, None, {"offset": "0x40"}]}],
+                            "strings": [{"address": "0x050", "value": "hi"}], "inheritance": [{"derived": "A", "base": "B"}]}), "{", "[]", None]
+    spark.createDataFrame([(p,) for p in payloads], "payload string").write.parquet(str(tmp_path / "fact_documents.parquet"))
+    for name in ("function_facts", "observations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.subject, r.predicate, r.value) for r in f2_ingest(spark, str(tmp_path)).collect()}
+    assert got == {("0x10", "has_name", "f"), ("0x10", "called_by", "0x20"), ("0x10", "calls", "0x30"), ("0x10", "calls", "0x40"), ("0x50", "contains_string", "hi"), ("A", "inherits_from", "B")}
+
+
 def test_snapshots(spark, tmp_path):
     for v in (1, 2):
         S.save_snapshot({"t": spark.range(v)}, str(tmp_path / "s"), v)
