@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from factloom.llm.hashing import batches_of, mix
 
-#: Masks over 13 words: positions marked 1 are hashed, the others may differ.
-MASKS = ("1101100110101", "1011011001011")
+#: Masks over 13 words: positions marked 1 are hashed, the others may differ.  Of four blocks two are kept in each,
+#: so that every placement of at most two different words leaves some mask whole.
+MASKS = ("1111110000000", "1110001110000", "1110000001111", "0001111110000", "0001110001111", "0000001111111")
+#: Enough where only equal runs of 13 words count.
+RUN_MASKS = ("1101100110101", "1011011001011")
 #: A word is a maximal run of letters and digits.
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -84,12 +87,13 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text",
     masks: tuple[str, ...] = MASKS, substitutions: int = 2, block: int = 5000,
 ) -> DataFrame:
-    """(doc, item, exact_words, overlap_words, substitutions): every document and item that share a seed.
+    """(doc, item, exact_words, overlap_words, substitutions): every document and item that share a seed whose
+    window has at most ``substitutions`` different words.
 
-    exact_words is the longest run of words that stands in both (0 if only substitution-tolerant seeds agree
-    without any equal word in a row, which can't be); overlap_words the longest aligned stretch with at most
-    ``substitutions`` different words, counted with them.  Every run of len(mask) or more equal words is found:
-    all its seeds agree.  Items shorter than a mask match nothing.  Null or empty texts have no words.  Documents
+    exact_words is the longest run of equal words and overlap_words the longest aligned stretch with at most
+    ``substitutions`` different words, counted with them, each over all alignments with such a window.  Every run
+    of len(mask) or more equal words is found: all its seeds agree.  With the six default masks every stretch of
+    13 or more words with at most two substitutions is found too, wherever they fall.  Items shorter than a mask match nothing.  Null or empty texts have no words.  Documents
     equal in all columns count once per row; the pairs are distinct.
 
     The corpus is scanned where it lies and never shuffled.  Items are held by each task in blocks of about
@@ -123,12 +127,17 @@ def find_leaks(
                         p = np.repeat(at[some], reps)
                         first = np.repeat(lo[some], reps) + np.arange(len(p)) - np.repeat(np.cumsum(reps) - reps, reps)
                         q = places[first]
+                        apart = np.zeros(len(p), np.int64)
+                        for j in range(len(mask)):
+                            apart += codes[p + j] != it.codes[q + j]
+                        p, q = p[apart <= substitutions], q[apart <= substitutions]
                         d, e = np.searchsorted(bounds, p, "right") - 1, np.searchsorted(it.bounds, q, "right") - 1
                         hits.update(zip(d.tolist(), e.tolist(), ((p - bounds[d]) - (q - it.bounds[e])).tolist(), strict=True))
                     best: dict[tuple[int, int], tuple[int, int, int]] = {}
                     for d, e, shift in hits:
-                        v = _verify(codes[bounds[d] : bounds[d + 1]], it.codes[it.bounds[e] : it.bounds[e + 1]], shift, substitutions)
-                        best[d, e] = max(best.get((d, e), v), v)
+                        exact, overlap, k = _verify(codes[bounds[d] : bounds[d + 1]], it.codes[it.bounds[e] : it.bounds[e + 1]], shift, substitutions)
+                        known, longest, with_k = best.get((d, e), (0, 0, 0))
+                        best[d, e] = (max(known, exact), *((overlap, k) if (overlap, -k) > (longest, -with_k) else (longest, with_k)))
                     pairs = list(best)
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.names import NOTHING_KNOWN, address_or_text, canonical_predicate, says_something, squeeze
-from factloom.llm.leakage import find_leaks
+from factloom.llm.leakage import RUN_MASKS, find_leaks
 from factloom.llm.neardup import near_groups, near_pairs
 from factloom.llm.packing import fills, pack
 from factloom.llm.spans import shared_spans
@@ -67,7 +67,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold 13 or more consecutive words of an evaluation item."""
-    pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), masks=RUN_MASKS)
     return pairs.where("exact_words >= 13").select("doc_id", "item_id")
 
 

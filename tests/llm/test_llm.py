@@ -284,6 +284,21 @@ def test_leaks_with_substitutions(spark):
     assert rows(find_leaks(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string"))) == []
 
 
+def test_leaks_with_any_two_substitutions(spark):
+    item = [f"i{k}" for k in range(13)]
+    places = [(a, b) for a in range(13) for b in range(a, 13)]
+    docs = [(n, " ".join(["p", "q", *("X" if k in ab else w for k, w in enumerate(item)), "r"])) for n, ab in enumerate(places)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert sorted(r.doc_id for r in got.collect() if r.overlap_words == 13) == list(range(len(places)))
+
+
+def test_longest_overlap_on_another_alignment(spark):
+    item = [f"i{k}" for k in range(60)]
+    doc = [*item[:12], "a", "b", "c", "d", *item[20:28], "X", *item[29:37], "Y", *item[38:46], "e", "f", "g"]
+    got = find_leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert [(r.exact_words, r.overlap_words, r.substitutions) for r in got.collect()] == [(12, 26, 2)]
+
+
 # --- shared spans ---------------------------------------------------------------------------------------------
 
 
