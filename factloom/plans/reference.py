@@ -10,6 +10,7 @@ from factloom.functions import text as T
 from factloom.functions.names import canonical_address, canonical_class, squeeze
 from factloom.operators import graph as G
 from factloom.operators import views as V
+from factloom.operators.hierarchy import hierarchies
 from factloom.operators.packed import split_values
 from factloom.operators.provenance import provenance, thunks
 from factloom.session import cut, table
@@ -200,6 +201,28 @@ def j5_sibling_roles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _rooted_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of _slots with the root of each class's hierarchy (a root is its own)."""
+    links = table(spark, sf, "recovered_classes").select(canonical_class(F.col("name")).alias("name"), canonical_class(F.col("base")).alias("base"))
+    return _slots(spark, sf).join(hierarchies(links, "name", "base").select(F.col("node").alias("class_name"), "root"), "class_name")
+
+
+def j4_hierarchy_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Methods at the same slot of classes of the same hierarchy: how many classes have it, and the least class."""
+    per = _rooted_slots(spark, sf).groupBy("root", "slot").agg(F.countDistinct("class_name").alias("n_classes"), F.min("class_name").alias("first_class"))
+    return per.where("n_classes > 1")
+
+
+def j5_hierarchy_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles accepted for a method, offered to the same slot of classes of the same hierarchy that have none."""
+    s = cut(_rooted_slots(spark, sf).where("address is not null"))
+    roles = f22_accepted_names(spark, sf).select(F.col("subject").alias("address"), "role")
+    given = s.join(roles, "address").groupBy("root", "slot").agg(F.min(F.struct("class_name", "role")).alias("g"))
+    return s.join(roles.select("address"), "address", "left_anti").join(given, ["root", "slot"]).select(
+        "class_name", "slot", "address", F.col("g.class_name").alias("from_class"), F.col("g.role").alias("role")
+    )
+
+
 def j6_supersessions(spark: SparkSession, sf: str) -> DataFrame:
     """Superseded observations with the newest active one of the same subject and predicate."""
     obs = V.observations(spark, sf, once=True).where("subject is not null and predicate is not null")
@@ -557,7 +580,7 @@ QUERIES = {
     for f in (
         f1_ingest, f2_ingest, f3_live_facts, f4_latest_values, f8_substantive_bodies, f9_empty_bodies, f12_reserved_names, f13_subject_classes, f15_owners, f16_noise,
         f22_accepted_names, f25_labels, f27_symbol_addresses, f28_confident_data, f30_known_callees, j1_evidence, j2_seeds, j3_fingerprint_reuse,
-        j4_sibling_slots, j5_sibling_roles, j6_supersessions, j8_restated_roles, j9_call_neighbours, j11_vfunc0, j18_sole_owners, j19_outcomes,
+        j4_sibling_slots, j5_sibling_roles, j4_hierarchy_slots, j5_hierarchy_roles, j6_supersessions, j8_restated_roles, j9_call_neighbours, j11_vfunc0, j18_sole_owners, j19_outcomes,
         j23_new_inheritance, j24_class_references, a1_investigation_report, a5_library_ratio, a6_dependents, a7_attempts, a8_coverage, a10_statuses,
         a12_sole_callees, a13_thunks, a14_name_collisions, a16_field_candidates, a17_extents, k1_priorities, k4_wave, g1_stale_cascade, g2_reachable,
         g4_api_hints, g5_provenance, g10_import_chains, s10_linker_symbols, g16_frontier, g17_dispositions, u1_startup_only, m15_gate, m22_retries,

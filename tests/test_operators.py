@@ -19,6 +19,21 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_siblings_by_root(spark, tmp_path):
+    from factloom.plans.reference import j4_hierarchy_slots, j5_hierarchy_roles
+
+    classes = [("Drawable", None, "0x1"), ("Collideable", "Drawable", "0x2"), ("Wall", "Collideable", "0x3"), ("Food", "Collideable", "0x4"), ("Other", None, "0x5")]
+    data = [(n, b, [{"address": a, "raw_name": "m", "display_name": "m"}]) for n, b, a in classes]
+    schema = "name string, base string, methods array<struct<address string, raw_name string, display_name string>>"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "recovered_classes.parquet"))
+    kept = spark.read.parquet("/root/testdata/sf0.001/hypotheses.parquet")
+    role = {"id": 1, "subject": "0x3", "predicate": "semantic_role", "value": "draws itself", "status": "ACCEPTED", "confidence": 0.9}
+    spark.createDataFrame([tuple(role.get(c) for c in kept.columns)], kept.schema).write.parquet(str(tmp_path / "hypotheses.parquet"))
+    assert rows(j4_hierarchy_slots(spark, str(tmp_path)).select("root", "slot", "n_classes", "first_class")) == [("Drawable", 0, 4, "Collideable")]
+    got = rows(j5_hierarchy_roles(spark, str(tmp_path)).select("class_name", "address", "from_class"))
+    assert got == [("Collideable", "0x2", "Wall"), ("Drawable", "0x1", "Wall"), ("Food", "0x4", "Wall")]
+
+
 # --- packed ---------------------------------------------------------------------------------------------------
 
 
