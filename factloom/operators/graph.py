@@ -36,6 +36,23 @@ def reach_by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def startup_only(edges: DataFrame, entry: DataFrame, margin: int = 3) -> DataFrame:
+    """(node): what the entry (one row, column node) reaches but its main function doesn't.
+
+    The main function is, of the callees of the entry's only callee, the one with the largest reach, if there are
+    at least two of them and its reach is ``margin`` times that of the next one or more.  Without it the result is
+    empty: nothing is known of the boundary then.
+    """
+    edges = cut(edges.where("src is not null and dst is not null").distinct())
+    only = sole_callees(edges.join(entry.select(F.col("node").alias("src")), "src", "left_semi")).select(F.col("dst").alias("src"))
+    reach = cut(reach_by_root(edges, edges.join(only, "src", "left_semi").select(F.col("dst").alias("node"))))
+    two = reach.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "root").limit(2)
+    ranked = two.agg(F.reverse(F.sort_array(F.collect_list(F.struct("n", "root")))).alias("t")).where("size(t) = 2")
+    main = cut(ranked.where(F.col("t")[0]["n"] >= F.col("t")[1]["n"] * margin).select(F.col("t")[0]["root"].alias("root")))
+    outside = reachable(edges, entry).select("node").join(reach.join(main, "root", "left_semi").select("node"), "node", "left_anti")
+    return outside.crossJoin(F.broadcast(main)).select("node")
+
+
 def stale_cascade(dependencies: DataFrame, changed: DataFrame, states: DataFrame) -> DataFrame:
     """(id): hypotheses made stale when those in ``changed`` (id) change.
 

@@ -475,11 +475,13 @@ def g17_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     reach = G.reachable(edges, _root(edges)).select(F.col("node").alias("subject"), F.lit(True).alias("r"))
     chained = g10_import_chains(spark, sf).withColumn("chained", F.lit(True))
     wide = edges.groupBy(F.col("dst").alias("subject")).agg(F.count("*").alias("n_callers"))
-    for side in (reach, provenance(obs), body, chained):
+    startup = u1_startup_only(spark, sf).withColumn("startup", F.lit(True))
+    for side in (reach, provenance(obs), body, chained, startup):
         wide = wide.join(side, "subject", "left")
     origin, has = F.coalesce("provenance", F.lit("UNKNOWN")), F.coalesce("body", F.lit(False))
     what = (
         F.when(F.col("r").isNull(), "UNREACHABLE")
+        .when(F.col("startup"), "RUNTIME_ARTIFACT")
         .when(origin == "APPLICATION", "REQUIRED_APPLICATION")
         .when((origin == "UNKNOWN") & has, "REQUIRED_UNKNOWN")
         .when(origin == "UNKNOWN", "DEFERRED")
@@ -491,13 +493,9 @@ def g17_dispositions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def u1_startup_only(spark: SparkSession, sf: str) -> DataFrame:
-    """What the entry point reaches but its main callee (by far the largest reach) doesn't."""
+    """What the entry point reaches but the main function (see graph.startup_only) doesn't; empty if none stands out."""
     edges = cut(V.call_edges(V.observations(spark, sf)))
-    first = edges.join(_root(edges).select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
-    reach = cut(G.reach_by_root(edges, first))
-    largest = reach.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "root").limit(1)
-    whole = G.reachable(edges, _root(edges)).select("node")
-    return whole.join(reach.join(largest, "root", "left_semi").select("node"), "node", "left_anti").withColumnRenamed("node", "subject")
+    return G.startup_only(edges, _root(edges)).withColumnRenamed("node", "subject")
 
 
 def m15_gate(spark: SparkSession, sf: str) -> DataFrame:

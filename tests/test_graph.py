@@ -7,6 +7,19 @@ from factloom.operators import graph as G
 from factloom.operators import views as V
 
 
+def test_startup_only(spark):
+    from factloom.operators.graph import startup_only
+
+    start = [("e", "crt"), ("crt", "argv"), ("crt", "main"), ("argv", "lib")]
+    main = [("main", f"m{i}") for i in range(5)] + [("m1", "lib")]
+    entry = spark.createDataFrame([("e",)], "node string")
+    only = lambda edges: sorted(r.node for r in startup_only(spark.createDataFrame(edges, "src string, dst string"), entry).collect())
+    assert only(start + main) == ["argv", "crt", "e"]
+    assert only(start + main[:3]) == []  # 4 against 2: no margin
+    assert only([("e", "crt"), ("crt", "main"), *main]) == []  # no sibling
+    assert only([*start, *main, ("e", "other")]) == []  # two callees of the entry
+
+
 def test_reachable_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), (None, "a"), ("d", None)], "src string, dst string")
     roots = spark.createDataFrame([("a",), (None,)], "node string")
