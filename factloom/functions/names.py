@@ -30,7 +30,7 @@ def canonical_address(c: Column) -> Column:
     """
     t = F.lower(F.regexp_replace(c, r"[\s`_]", ""))
     digits = F.regexp_extract(t, r"^(?:0x)?0*([0-9a-f]+)h?$", 1)
-    return F.when(digits != "", F.concat(F.lit("0x"), digits))
+    return F.when(c.rlike("^0x[1-9a-f][0-9a-f]*$"), c).when(digits != "", F.concat(F.lit("0x"), digits))
 
 
 def address_or_text(c: Column) -> Column:
@@ -41,7 +41,7 @@ def address_or_text(c: Column) -> Column:
 def canonical_predicate(c: Column) -> Column:
     """snake_case of any of ``hasName``, ``HAS_NAME``, ``has-name``, `` has_name ``."""
     t = F.regexp_replace(squeeze(c), r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(t, r"[\s\-]+", "_"))
+    return F.when(c.rlike("^[a-z0-9_]+$"), c).otherwise(F.lower(F.regexp_replace(t, r"[\s\-]+", "_")))
 
 
 def _decode_lengths(t: Column) -> Column:

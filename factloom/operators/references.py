@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.skew import hot_join
 from factloom.session import cut
 
 
@@ -17,25 +18,13 @@ def dangling(refs: DataFrame, parents: DataFrame, most_hot: int = 1000, least_ho
     earliest valid_from counts, and deleted only if all are.
 
     Both streams are partitioned alike and sorted by (kind, key, salt), then merged in one linear pass
-    (a sort-merge join).  A key with more than max(least_hot, references / most_hot) references is hot: its
-    references are dealt over as many salts as they fill and its one parent row is repeated for each.  There
-    are fewer than most_hot such keys, whatever the data, so that their list may be broadcast.
+    (a sort-merge join, see skew.hot_join for records that very many rows refer to).
     """
     refs = cut(refs.where(F.col("key").isNotNull()).distinct())
-    counts = refs.groupBy("kind", "key").agg(F.count("*").alias("_n"))
-    total = refs.count()
-    share = max(least_hot, total // most_hot)
-    hot = counts.where(F.col("_n") > share).select("kind", "key", F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)
     whole = parents.where(F.col("key").isNotNull()).groupBy("kind", "key").agg(
         F.when(F.count("valid_from") == F.count("*"), F.min("valid_from")).alias("_from"), F.bool_and(F.coalesce("deleted", F.lit(False))).alias("_gone")
     )
-    plain = [c for c in refs.columns if c not in ("kind", "key")]
-    spread = refs.join(hot, ["kind", "key"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*plain), F.coalesce("_salts", F.lit(1))).cast("int")
-    )
-    dealt = whole.join(hot, ["kind", "key"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    merged = spread.drop("_salts").hint("merge").join(dealt.drop("_salts"), ["kind", "key", "_salt"], "left")
+    merged = hot_join(refs, whole, ["kind", "key"], "left", least_hot=least_hot, most_hot=most_hot)
     state = (
         F.when(F.col("_gone").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_from") > F.col("time"), "later")
     )

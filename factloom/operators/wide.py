@@ -6,58 +6,45 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from factloom.session import shared_path
-
-MAX_ATTRIBUTES = 12
-#: Dense tables that one plan joins; more are joined in several steps, since every scan costs the driver memory.
-MOST_AT_ONCE = 64
+from factloom.session import cut
 
 
 def characteristic_sets(
-    rows: DataFrame, entity: str, attribute: str, value: str, order: str, columns: dict[str, tuple[str, Column]]
+    rows: DataFrame, entity: str, attribute: str, value: str, order: str, columns: dict[str, tuple[str, Column]], most_tables: int = 12
 ) -> DataFrame:
     """One row per entity with typed columns.
 
-    columns: attribute -> (SQL type, expression that reads ``value`` as that type, null if it can't).
+    columns: attribute -> (SQL type, expression that reads the column ``_v`` as that type, null if it can't), any number.
     Each column takes the readable value of the row with the highest ``order`` (ties: the greatest value);
     rows with other attributes, or without entity or attribute, count for nothing.  An empty table gives none.
 
-    One hash aggregation (combined before the shuffle, so a hot entity costs one row a task) makes the dense
-    record and the entity's exact attribute-set signature.  The records are written once, split by signature;
-    each signature's dense table is read with its own columns only, and the tables are joined by name, 64 at a time.
-    At most 2**12 signatures can exist, since the attributes are named by the caller and limited to 12.
+    One aggregation (combined before the shuffle, so a hot entity costs one row a task) makes each entity's record
+    and its signature, the exact set of its attributes.  The records are written once, sorted by signature.  Each of
+    the ``most_tables`` most frequent signatures is a dense table of its own columns; rarer ones, which may be as
+    many as the entities, lie in the table of their common superset.  The tables are joined by name, missing columns
+    being null, when the result is read.
     """
-    if not 0 < len(columns) <= MAX_ATTRIBUTES:
-        raise ValueError(f"1 to {MAX_ATTRIBUTES} attributes")
-    spark, names = rows.sparkSession, list(columns)
+    if not columns:
+        raise ValueError("no attributes")
+    names = list(columns)
+    own = {n: f"a{i}" for i, n in enumerate(names)}  # no attribute's name can clash with a column in use
     base = rows.select(
         F.col(entity).alias("_e"), F.col(attribute).alias("_a"), F.col(value).alias("_v"), F.col(order).alias("_o")
     ).where(F.col("_e").isNotNull() & F.col("_a").isin(*names))
-    read = base.select("_e", "_a", "_o", *(F.when(F.col("_a") == n, columns[n][1]).alias(n) for n in names))
+    read = base.select("_e", "_a", "_o", *(F.when(F.col("_a") == n, columns[n][1].cast(columns[n][0])).alias(own[n]) for n in names))
     picks = [
-        F.max(F.when(F.col(n).isNotNull(), F.struct(F.coalesce("_o", F.lit(-(2**63))).alias("o"), F.col(n).alias("v")))).alias(n)
-        for n in names
+        F.max(F.when(F.col(c).isNotNull(), F.struct(F.coalesce("_o", F.lit(-(2**63))).alias("o"), F.col(c).alias("v")))).alias(c)
+        for c in own.values()
     ]
-    bits = F.bit_or(reduce(lambda c, i: c.when(F.col("_a") == names[i], 1 << i), range(1, len(names)), F.when(F.col("_a") == names[0], 1)))
-    dense = read.groupBy("_e").agg(bits.alias("_sig"), *picks).select("_sig", F.col("_e").alias(entity), *(F.col(f"{n}.v").alias(n) for n in names))
-    path = shared_path(spark, "sets")
-    dense.repartition("_sig", F.pmod(F.xxhash64(entity), F.lit(_spread(spark)))).write.partitionBy("_sig").parquet(path)
-    types = {f.name: f.dataType for f in dense.schema.fields}
-    present = sorted(r[0] for r in spark.read.schema("_sig int").parquet(path).select("_sig").distinct().collect())
-    whole = T.StructType([T.StructField(entity, types[entity]), *(T.StructField(n, types[n]) for n in names)])
-    empty, out = spark.createDataFrame([], whole), shared_path(spark, "wide")
-    for at in range(0, max(1, len(present)), MOST_AT_ONCE):
-        tables = []
-        for sig in present[at : at + MOST_AT_ONCE]:
-            own = [T.StructField(n, types[n]) for i, n in enumerate(names) if sig >> i & 1]
-            tables.append(spark.read.schema(T.StructType([T.StructField(entity, types[entity]), *own])).parquet(f"{path}/_sig={sig}"))
-        joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, empty)
-        joined.select(entity, *names).write.mode("append").parquet(out)
-    return spark.read.schema(whole).parquet(out)
-
-
-def _spread(spark) -> int:
-    """Files a signature may be written to, so that one that holds most entities isn't one task's work."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    flags = [F.max(F.when(F.col("_a") == n, "1").otherwise("0")).alias(f"h{i}") for i, n in enumerate(names)]
+    record = read.groupBy("_e").agg(*flags, *picks).select(
+        F.concat(*(f"h{i}" for i in range(len(names)))).alias("_sig"), "_e", *(F.col(f"{c}.v").alias(c) for c in own.values())
+    )
+    dense = cut(record.sortWithinPartitions("_sig"))
+    often = dense.groupBy("_sig").count().orderBy(F.col("count").desc(), "_sig").limit(most_tables).collect()
+    some = [r["_sig"] for r in often]
+    tables = [dense.where(F.col("_sig") == s).select("_e", *(own[n] for i, n in enumerate(names) if s[i] == "1")) for s in some]
+    tables.append(dense.where(~F.col("_sig").isin(*some)).select("_e", *own.values()))
+    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return joined.select(F.col("_e").alias(entity), *(F.col(c).alias(n) for n, c in own.items()))

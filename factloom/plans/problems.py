@@ -81,7 +81,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row per caller or callee listed in a fact document."""
     return call_links(table(spark, sf, "fact_documents"), "snapshot_id", "payload").select(
         "snapshot_id", "function_pos", "function_address", "link_side", "link_pos", "link_address"
-    )
+    ).distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,24 +40,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_written: list[str] = []
+#: Paths written in each application, by its id.
+_written: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table beside the checkpoints."""
-    _written.append(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that this process has written to the shared folder.
+    """Delete the tables that this application has written to the shared folder.
 
     To be called when the results that were built on them have been stored or used.
     """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end, when its results have been stored."""
+    before = list(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        _written[spark.sparkContext.applicationId] = [p for p in _written.get(spark.sparkContext.applicationId, []) if p not in before]
+        release(spark)
+        _written[spark.sparkContext.applicationId] = before
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.names import text_or_null, whole_bytes, yes_no
 from factloom.operators.hierarchy import hierarchies
-from factloom.operators.nested import call_links, label_nodes
-from factloom.operators.packed import _segment, split_values
+from factloom.operators.nested import _deep, call_links, label_nodes, node_tables
+from factloom.operators.packed import _automaton, _hits, _segment, split_values
 from factloom.operators.references import dangling
 from factloom.operators.wide import characteristic_sets
 
@@ -42,10 +42,20 @@ def test_siblings_by_root(spark, tmp_path):
     ("E162 (unsigned), E138 (8 sites)", [162, 138]), ('E162|"E120 (said ""tracker"")"|"144"', [162, 120, 144]), ('"";"122"', [122]),
     ('"E9 (from 0x23a8 | sorter, 4)","10"', [9, 10]), ("E00013257、E5；7", [13257, 5, 7]), ("E1. E2.", [1, 2]), ("none", []), ("0x12", []),
     ('"E1, "E2"', [1, 2]), ('""     ""', []), ('"", 12, ""', [12]), ("9" * 30, []), ('"no number", 4', [4]),
+    ("observation12, E5", [12, 5]), ("hypothesis7;E5", [7, 5]), ("##3", [3]),
 ])
 def test_segments(text, ids):
-    assert _segment(text, set()) == ids
-    assert _segment(text, {i for i in range(len(text) + 1)}) == ids
+    assert _segment(text, {}) == ids
+    assert _segment(text, _hits(text, _automaton(set(ids)))) == ids
+
+
+@pytest.mark.parametrize(("text", "known", "ids"), [
+    ("1,234; E7", {1234}, [1234, 7]), ("1,234; E7", {1234, 1}, [1, 234, 7]), ("1,234; E7", set(), [1, 234, 7]), ("1,234,567", {1234567}, [1234567]),
+    ("1,234,5", {1234}, [1, 234, 5]), ("0.1,234", {1234}, [234]), ("E12E13", {12, 13}, [12, 13]), ("E12E13", {12}, []), ("id_12 and id_13", {12}, [12]),
+    ("0x12 1cd3832e0 x86", {12, 1, 3832, 86}, [86]), ("E0012E12", {12}, [12, 12]), ("112 12", {12}, [112, 12]),
+])
+def test_dictionary_decides(text, known, ids):
+    assert _segment(text, _hits(text, _automaton(known))) == ids
 
 
 def test_split_values(spark):
@@ -55,6 +65,9 @@ def test_split_values(spark):
     assert rows(split_values(df, ["id"], "t", known)) == sorted(expected, key=str)
     assert rows(split_values(df, ["id"], "t", None)) == sorted(expected, key=str)
     assert rows(split_values(df.limit(0), ["id"], "t", known)) == []
+    packed = spark.createDataFrame([(1, "1,234 | E7")], "id bigint, t string").withColumn("_n", F.lit("clash"))
+    assert rows(split_values(packed, ["id"], "t", spark.createDataFrame([(1234,)], "id bigint"), least_hot=0)) == [(1, 1, 1234), (1, 2, 7)]
+    assert rows(split_values(packed, ["id"], "t", None)) == [(1, 1, 1), (1, 2, 234), (1, 3, 7)]
 
 
 # --- wide -----------------------------------------------------------------------------------------------------
@@ -73,6 +86,20 @@ def test_wide(spark):
     assert rows(characteristic_sets(df.limit(0), "s", "p", "v", "id", {"t": ("string", text_or_null(v))})) == []
 
 
+def test_wide_of_many_attributes(spark):
+    rng = random.Random(3)
+    names = ["_e", "_sig", "a0", *(f"x{i}" for i in range(37))]
+    data = [(i, f"s{rng.randrange(60)}", n, str(rng.randrange(9))) for i in range(1500) if (n := rng.choice(names))]
+    data += [(2000 + i, "hot", names[i % 40], "1") for i in range(400)] + [(3000 + i, f"same{i}", "x1", "5") for i in range(50)]
+    df = spark.createDataFrame(data, "id bigint, s string, p string, v string")
+    last = {}
+    for i, s, p, v in data:
+        last[s, p] = v
+    got = characteristic_sets(df, "s", "p", "v", "id", {n: ("bigint", F.col("_v").cast("bigint")) for n in names}, most_tables=3)
+    assert got.columns == ["s", *names]
+    assert rows(got) == sorted((tuple([s, *(int(last[s, n]) if (s, n) in last else None for n in names)]) for s in {s for s, _ in last}), key=str)
+
+
 # --- nested ---------------------------------------------------------------------------------------------------
 
 
@@ -82,6 +109,37 @@ def test_intervals_nest(spark):
     assert got["a", None][0] < got["a[]", 0][0] < got["a[].b[]", 0][0] <= got["a[].b[]", 0][1] < got["a[]", 0][1] < got["a[]", 2][0] < got["a", None][1]
 
 
+@pytest.mark.parametrize("text", [
+    '{"a": [1, -2.5e3, "x\\u00e9\\"", true, false, null, {}, []], "b": {"c": {"a": [[]]}}, "a": 3}', " [ ] ", "3", '"x"', '{"k" : {"l":[{"m":1},{"m":2}]}}',
+])
+def test_deep_reader(text):
+    assert _deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", '{"a":1,}', "{1:2}", "[1 2]", "[", '{"a"', "tru", "1 2", "[01]", "[NaN]", '{"a" 1}', '["a'])
+def test_deep_reader_refuses(text):
+    with pytest.raises(ValueError):
+        json.loads(text, parse_constant=int)
+    with pytest.raises(ValueError):
+        _deep(text)
+
+
+def test_documents_stay_apart(spark):
+    one = lambda a, b: json.dumps({"functions": [{"address": a, "callees": [b]}]})
+    deep = '{"x": ' + "[" * 50_000 + "]" * 50_000 + ', "functions": [{"address": "0x7", "callees": ["0x8"]}]}'
+    df = spark.createDataFrame([(1, one("0x1", "0x2")), (1, one("0x3", "0x4")), (None, one("0x5", "0x6")), (2, deep)], "id bigint, p string").withColumn("key", F.lit(0))
+    got = rows(call_links(df, "id", "p").select("id", "function_address", "link_address"))
+    assert got == sorted([(1, "0x1", "0x2"), (1, "0x3", "0x4"), (None, "0x5", "0x6"), (2, "0x7", "0x8")], key=str)
+
+
+def test_node_tables_link_by_containment(spark):
+    payload = json.dumps({"a": [{"b": [1, 2]}, {"b": [3]}]})
+    t = node_tables(label_nodes(spark.createDataFrame([(1, payload), (2, payload)], "d bigint, p string"), "d", "p", ["a[]", "a[].b[]"]), ["a[]", "a[].b[]"])
+    up, low = t["a[]"].alias("u"), t["a[].b[]"].alias("l")
+    inside = [F.col("u.doc") == F.col("l.doc"), F.col("u.key") == F.col("l.key"), F.col("l.pre").between(F.col("u.pre"), F.col("u.post"))]
+    assert rows(up.join(low, inside).select("u.doc", "u.pos", "l.scalar")) == sorted([(d, p, s) for d in (1, 2) for p, s in ((0, "1"), (0, "2"), (1, "3"))], key=str)
+
+
 def test_call_links(spark):
     doc = {"functions": [
         {"address": "0X00A", "callers": ["0xB", None, 12, {"space": "ram", "offset": "0xD"}], "callees": "0xE"},
