@@ -16,7 +16,7 @@ def hot_join(
     data, so that their list is broadcast.  rows: a written table (they are counted first); counts: keys and ``c``, the
     rows of each key, where they are known already.  Rows with a null key match nothing.
     """
-    share = max(least_hot, rows.count() // most_hot)
+    share = max(1, least_hot, rows.count() // most_hot)
     per = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("c"))
     hot = F.broadcast(per.where(F.col("c") > share).select(*keys, F.ceil(F.col("c") / share).cast("int").alias("_salts")))
     plain = [c for c in rows.columns if c not in keys]
