@@ -10,7 +10,7 @@ from factloom.llm.leakage import RUN_MASKS, find_leaks
 from factloom.llm.neardup import near_groups, near_pairs
 from factloom.llm.packing import fills, pack
 from factloom.llm.spans import shared_spans
-from factloom.llm.survivors import judged_values, survivors
+from factloom.llm.survivors import judged_values, stated_survivors, survivors
 from factloom.session import table
 
 
@@ -33,17 +33,17 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "observations").withColumn("predicate", canonical_predicate(F.col("predicate")))
     return rows.where(F.col("predicate").isin(*FUNCTION_FACTS)).select(
         "id", address_or_text(F.col("subject")).alias("subject"), "predicate", squeeze(F.col("value")).alias("value"),
-        "confidence", "source", "created_at", says_something(F.col("value")).alias("says"),
+        "confidence", F.concat_ws("@", "source", "artifact").alias("source"), "created_at", says_something(F.col("value")).alias("says"),
     )
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The surviving rows of each function's facts."""
-    return survivors(_facts(spark, sf)).select("first_id", "value_id", "created_id")
+    """The surviving rows of each function's facts, by the order that is stated for them."""
+    return stated_survivors(_facts(spark, sf)).select("first_id", "value_id", "created_id")
 
 
 def p3_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The surviving record of each group, with every value judged true."""
+    """The record of each group whose value the model of the sources holds most probable, with every value judged true."""
     return survivors(_facts(spark, sf)).select(
         "subject", "predicate", "value", F.round("probability", 4).alias("probability"), F.array_join("true_values", " | ").alias("true_values")
     )
@@ -51,7 +51,7 @@ def p3_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_true_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every stated value with the probability that it is true, by predicate and rounded probability."""
-    values = judged_values(_facts(spark, sf).where("source is not null"))
+    values = judged_values(_facts(spark, sf))
     return values.groupBy("predicate", F.round("probability", 1).alias("probability")).agg(F.count("*").alias("n_values"))
 
 
@@ -67,7 +67,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold 13 or more consecutive words of an evaluation item."""
-    pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), masks=RUN_MASKS)
+    pairs = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), masks=RUN_MASKS, substitutions=0)
     return pairs.where("exact_words >= 13").select("doc_id", "item_id")
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.hashing import window_minima
-from factloom.llm.leakage import find_leaks
+from factloom.llm.leakage import RUN_MASKS, _held, find_leaks, seed_filter
 from factloom.llm.neardup import near_groups, near_links, near_pairs, prob_min_hash
 from factloom.llm.packing import fill, fills, pack
 from factloom.llm.spans import shared_spans
-from factloom.llm.survivors import SENSITIVITY_PRIOR, SPECIFICITY_PRIOR, judged_values, survivors, truth_model
+from factloom.llm.survivors import SENSITIVITY_PRIOR, SPECIFICITY_PRIOR, _claims, _stated, judged_values, stated_survivors, survivors, truth_model
 
 
 def rows(df):
@@ -162,9 +162,7 @@ def test_model_trusts_good_sources(spark):
 def test_model_equals_plain_em(spark):
     data = facts()
     schema = "id bigint, subject string, predicate string, value string, confidence double, source string, created_at timestamp_ntz, says boolean"
-    from factloom.llm.survivors import _claims
-
-    patterns, quality = truth_model(_claims(spark.createDataFrame(data, schema)), rounds=4)
+    patterns, quality = truth_model(_claims(_stated(spark.createDataFrame(data, schema)), least_hot=1), rounds=4, settled=0.0)
     got = {r.source: (r.sensitivity, r.specificity) for r in quality.collect()}
     named, spoken = defaultdict(set), defaultdict(set)
     for _, s, _, v, _, source, _, _ in data:
@@ -191,13 +189,33 @@ def test_survivors(spark):
     day = lambda n: dt.datetime(2025, 1, n)
     data = [
         (1, "s", "p", "old", 0.9, "a", day(1), True), (2, "s", "p", "new", 0.9, "b", day(2), True), (2, "s", "p", "new", 0.9, "b", day(2), True), (3, "s", "p", None, 1.0, "c", None, False),
-        (4, "t", "p", "?", 0.9, None, None, False), (5, "t", "p", None, None, None, None, False), (6, "u", "p", "lonely", 0.9, "a", day(1), True),
+        (4, "t", "p", "?", 0.9, None, None, False), (5, "t", "p", None, None, None, None, False), (6, "u", "p", "lonely", 0.9, "a", day(1), True), (10, "w", "p", "single", 0.9, "b", day(1), True),
         (7, "v", "p", "x", float("nan"), None, None, True), (8, "v", "p", "y", None, None, None, True), (None, "v", "p", "z", 1.0, "a", day(3), True), (9, None, "p", "z", 1.0, "a", day(3), True),
     ]
     df = spark.createDataFrame(data, "id bigint, subject string, predicate string, value string, confidence double, source string, created_at timestamp_ntz, says boolean")
     got = rows(survivors(df, rounds=2).select("subject", "first_id", "value_id", "value", "created_id"))
     assert got == [("s", 1, 2, "new", 2), ("t", 4, None, None, 5), ("v", 7, 8, "y", 8)]
     assert rows(survivors(df.limit(0), rounds=1)) == []
+    assert rows(stated_survivors(df)) == [("s", "p", 1, 2, 2), ("t", "p", 4, None, 5), ("v", "p", 7, 8, 8)]
+    assert rows(stated_survivors(df.limit(0))) == []
+
+
+def test_model_decides_the_record(spark, tmp_path):
+    """Two good sources outvote a bad one that claims more confidence, through the registered query."""
+    from factloom.llm.queries import p3_records
+
+    rng = random.Random(11)
+    data = []
+    for g in range(150):
+        right, wrong = f"v{rng.randrange(1000)}", f"w{rng.randrange(1000)}"
+        for source, p, confidence in (("good", 0.95, 0.5), ("fair", 0.9, 0.5), ("bad", 0.15, 0.99)):
+            data.append((len(data), f"0x{g + 16:x}", "hasName", right if rng.random() < p else wrong, confidence, source, None, dt.datetime(2025, 1, 1), "ACTIVE", None))
+    schema = "id bigint, subject string, predicate string, value string, confidence double, source string, artifact string, created_at timestamp_ntz, status string, superseded_by bigint"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "observations.parquet"))
+    records = p3_records(spark, str(tmp_path)).collect()
+    assert len(records) == 150 and sum(r.value.startswith("v") for r in records) >= 138
+    stated = stated_survivors(spark.createDataFrame(data, schema).withColumn("says", F.lit(True))).collect()
+    assert sum(data[r.value_id][3].startswith("v") for r in stated) < 50
 
 
 # --- packing --------------------------------------------------------------------------------------------------
@@ -247,8 +265,8 @@ def tokens(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
 
-@pytest.mark.parametrize("block", [5000, 7])
-def test_leaks(spark, block):
+@pytest.mark.parametrize("settings", [{}, {"masks": RUN_MASKS, "substitutions": 0}, {"least_hot": 1}])
+def test_leaks(spark, settings):
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, rng.randrange(5, 60)))) for i in range(30)] + [(100, None), (101, ""), (None, "x"), (0, None)]
     docs = []
@@ -270,10 +288,19 @@ def test_leaks(spark, block):
         w = tokens(t)
         for k in range(len(w) - 12):
             expected |= {(d, i) for i in grams.get(tuple(w[k : k + 13]), ())}
-    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("t", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string"), block=block)
+    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("t", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string"), **settings)
     assert set(map(tuple, got.where("exact_words >= 13").select("doc_id", "item_id").collect())) == expected
 
 
+def test_seed_filter(spark):
+    seeds = np.random.default_rng(3).integers(-(2**63), 2**63, 3000)
+    bits = seed_filter(spark.createDataFrame([(int(h),) for h in seeds], "h bigint"))
+    assert len(_held(seeds.view(np.uint64), bits)) == 3000
+    others = np.random.default_rng(4).integers(0, 2**64, 200_000, dtype=np.uint64)
+    assert len(_held(others, bits)) < 50
+    assert not seed_filter(spark.createDataFrame([], "h bigint")).any()
+
+
 def test_leaks_with_substitutions(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen last"
     doc = item.replace("three", "X").replace("six", "Y")  # both fall on places that some mask ignores
