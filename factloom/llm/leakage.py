@@ -113,7 +113,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _hashed(rows: DataFrame, key: str, masks: tuple[str, ...], bits: np.ndarray | None) -> DataFrame:
+def _hashed(rows: DataFrame, masks: tuple[str, ...], bits: np.ndarray | None) -> DataFrame:
     """(row, id, words, h, at): the word hashes of each text and those of its seeds that the filter holds.
 
     rows: row, id, text.  With a filter, texts without such a seed fall away.
@@ -183,11 +183,11 @@ def find_leaks(
     width = len(masks[0])
     number = F.monotonically_increasing_id()
     named = items.select(F.col(item).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
-    known = cut(_hashed(cut(named.withColumn("row", number)), "id", masks, None))
+    known = cut(_hashed(named.withColumn("row", number), masks, None))
     pairs_of = lambda df: df.select("row", F.explode(F.arrays_zip("h", "at")).alias("s")).select("row", "s.h", "s.at")
-    seeds = cut(pairs_of(known).select(F.col("row").alias("i_row"), "h", F.col("at").alias("i_at")))
+    seeds = pairs_of(known).select(F.col("row").alias("i_row"), "h", F.col("at").alias("i_at"))
     source = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("row", number)
-    hits = cut(_hashed(source, "id", masks, seed_filter(seeds)))
+    hits = cut(_hashed(source, masks, seed_filter(seeds)))
     met = pairs_of(hits).join(seeds, "h").groupBy("row", "i_row").agg(F.collect_set(F.col("at") - F.col("i_at")).alias("shifts"))
     met = hot_join(cut(met), known.select(F.col("row").alias("i_row"), F.col("id").alias("i_id"), F.col("words").alias("i_words")), ["i_row"], least_hot=least_hot)
     both = met.join(hits.select("row", "id", "words"), "row").select("id", "i_id", "words", "i_words", "shifts")
