@@ -89,6 +89,28 @@ def words(c: Column) -> Column:
 
 
 def int_literal(c: Column) -> Column:
+    """A whole number in decimal or, after 0x, in hex; null beyond 64 bits."""
     t = F.trim(c)
-    hexa = F.regexp_extract(t, r"^0[xX]([0-9a-fA-F]{1,15})$", 1)
-    return F.when(hexa != "", F.conv(hexa, 16, 10).try_cast("bigint")).when(t.rlike(r"^-?\d{1,18}$"), t.try_cast("bigint"))
+    hexa = F.regexp_extract(t, r"^0[xX]0*([0-9a-fA-F]{1,16})$", 1)
+    small = (F.length(hexa) < 16) | hexa.rlike("^[0-7]")
+    return F.when(hexa != "", F.when(small, F.conv(hexa, 16, 10).try_cast("bigint"))).when(t.rlike(r"^-?\d+$"), t.try_cast("bigint"))
+
+
+def symbol_address(c: Column) -> Column:
+    """The address in a symbol's name: the last part between underscores that is all hex, null if it is a short decimal."""
+    parts = F.filter(F.split(c, "_"), lambda x: x.rlike("^[0-9a-fA-F]+$"))
+    last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
+    return F.when(~last.rlike("^[0-9]{1,5}$"), F.concat(F.lit("0x"), F.lower(last)))
+
+
+def top_level(c: Column, mark: str = "\x01") -> Column:
+    """The parts between commas outside any brackets, trimmed; none for a blank text."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x.isin("(", "[", "{", "<"), 1).when(x.isin(")", "]", "}", ">"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(s["out"], F.when((x == ",") & (depth <= 0), mark).otherwise(x)).alias("out"))
+
+    nested = F.aggregate(F.split(c, ""), start, step)["out"]
+    parts = F.transform(F.split(F.when(c.rlike(r"[(\[{<]"), nested).otherwise(F.replace(c, F.lit(","), F.lit(mark))), mark), lambda x: F.trim(x))
+    return F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(parts)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from factloom.operators.skew import hot_join
 from factloom.session import cut
 
 SEPARATOR = " > "
@@ -15,7 +16,14 @@ def _rank(c: str) -> Column:
     return F.xxhash64(F.col(c), F.col("turn"))
 
 
-def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
+def _written(core: DataFrame, moving: Column) -> tuple[DataFrame, int, int]:
+    """(core as a written table, how many of its nodes can still move, most children of a node)."""
+    seen = Observation()
+    table = cut(core.observe(seen, F.count(F.when(moving, 1)).alias("moves"), F.coalesce(F.max("n"), F.lit(0)).alias("most")))
+    return table, seen.get["moves"], seen.get["most"]
+
+
+def hierarchies(links: DataFrame, node: str, parent: str, hub: int = 20_000) -> DataFrame:
     """(node, root, depth, state, path, descendants), one row per node that has a row in links.
 
     state is ``tree``, ``cycle`` (its own ancestor) or ``below_cycle``.  tree: root is the last ancestor (a parent
@@ -28,49 +36,54 @@ def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
     Rounds of raking (leaves fold into their parents) and compression (a node with one child hands it to its own
     parent; an independent set by hashed rank, so a third of every chain goes at once) contract all trees to their
     roots in a number of rounds logarithmic in the nodes.  What can't be contracted is a self-loop for each cycle.
-    The recorded contractions are then undone in reverse.  Each round is one aggregation (combined before the
-    shuffle, so a parent with very many children is cheap) and two joins on unique keys, and is checkpointed.
+    The recorded contractions are then undone in reverse.  In each round nodes get messages from their children, then
+    from their squeezed parent: two aggregations, combined before the shuffle (a parent with very many children is
+    cheap), and one written table.
     """
-    own = links.select(F.col(node).alias("v"), F.col(parent).alias("p")).where(F.col("v").isNotNull())
-    own = own.groupBy("v").agg(F.max("p").alias("p"), F.lit(1).cast("bigint").alias("acc"))
-    bare = own.where(F.col("p").isNotNull()).select(F.col("p").alias("v")).distinct().hint("merge").join(own.select("v"), "v", "left_anti")
-    both = own.unionByName(bare.select("v", F.lit(None).cast("string").alias("p"), F.lit(0).cast("bigint").alias("acc")))
-    both = both.withColumns({"w": F.lit(0).cast("bigint"), "segs": F.array().cast("array<string>"), "row": F.col("acc") == 1, "turn": F.lit(0)})
-    children = both.where(F.col("p").isNotNull()).groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"))
-    core = cut(both.hint("merge").join(children, "v", "left").withColumn("n", F.coalesce("n", F.lit(0))))
-
-    log: list[tuple[DataFrame, DataFrame]] = []
+    own = links.select(F.col(node).alias("v"), F.col(parent).alias("p")).where(F.col("v").isNotNull()).groupBy("v").agg(F.max("p").alias("p"))
+    kind = own.schema["v"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    seen = own.select("v", "p", F.lit(1).alias("mine"), F.lit(0).alias("child")).unionByName(
+        own.where(F.col("p").isNotNull()).select(F.col("p").alias("v"), none(kind).alias("p"), F.lit(0).alias("mine"), F.lit(1).alias("child"))
+    )
+    core = seen.groupBy("v").agg(F.max("p").alias("p"), F.max("mine").cast("bigint").alias("acc"), F.sum("child").alias("n"))
+    core = core.withColumns({"w": F.lit(0).cast("bigint"), "segs": F.array().cast(f"array<{kind}>"), "row": F.col("acc") == 1, "turn": F.lit(0)})
     moving = F.col("p").isNotNull() & (F.col("p") != F.col("v"))
-    while not core.where(moving).isEmpty():
-        leaf = F.coalesce(moving & (F.col("n") == 0), F.lit(False))
-        stats = core.where(F.col("p").isNotNull()).groupBy(F.col("p").alias("v")).agg(
-            F.sum(F.when(leaf, F.col("acc") + F.col("w"))).alias("add"),
-            F.count(F.when(~leaf, 1)).alias("m"),
-            F.min(F.when(~leaf, F.col("v"))).alias("only"),
+    leaf = F.coalesce(moving & (F.col("n") == 0), F.lit(False))
+    core, moves, most = _written(core, moving)
+
+    log: list[tuple[DataFrame, DataFrame, int]] = []
+    state = ("p", "acc", "w", "segs", "row", "turn")
+    while moves:
+        up = core.where(F.col("p").isNotNull()).select(
+            F.col("p").alias("v"), F.when(leaf, F.col("acc") + F.col("w")).alias("add"), F.when(~leaf, F.col("v")).alias("only"), F.when(~leaf, 1).alias("m")
+        )
+        told = core.where(~leaf).select("v", F.struct(*state).alias("s")).unionByName(up, allowMissingColumns=True).groupBy("v").agg(
+            F.first("s", ignorenulls=True).alias("s"), F.coalesce(F.sum("add"), F.lit(0)).alias("add"), F.min("only").alias("only"), F.count("m").alias("n")
         )
-        kept = core.where(~leaf).hint("merge").join(stats, "v", "left")
-        kept = kept.withColumns({"acc": F.col("acc") + F.coalesce("add", F.lit(0)), "n": F.coalesce("m", F.lit(0))}).drop("add", "m")
+        kept = told.select("v", *(F.col(f"s.{c}").alias(c) for c in state), "add", "only", "n").withColumn("acc", F.col("acc") + F.col("add")).drop("add")
         mine = _rank("v")
-        picked = moving & (F.col("n") == 1) & (mine > _rank("p")) & (mine > _rank("only"))
-        kept = cut(kept.withColumn("go", F.coalesce(picked, F.lit(False))))
-        gone = kept.where("go").select(F.col("only").alias("v"), *(F.col(c).alias(f"g{c}") for c in ("v", "p", "acc", "w", "segs", "row")))
-        stay = cut(kept.where("not go").drop("go", "only").hint("merge").join(gone, "v", "left"))
-        # what each compressed node needs to come back: its edge to the parent, and the child's edge to it
-        moved = F.col("gv").isNotNull()
-        squeezed = stay.where(moved).select(
-            F.col("gv").alias("v"), F.col("gp").alias("p"), F.col("v").alias("c"), F.col("gacc").alias("acc"), F.col("w").alias("cw"), F.col("gsegs").alias("segs"), F.col("grow").alias("row")
+        go = F.coalesce(moving & (F.col("n") == 1) & (mine > _rank("p")) & (mine > _rank("only")), F.lit(False))
+        kept = kept.withColumn("go", go)
+        down = kept.where("go").select(F.col("only").alias("v"), F.struct("v", "p", "acc", "w", "segs", "row").alias("g"))
+        met = kept.where("not go").select("v", F.struct(*state, "n").alias("s")).unionByName(down, allowMissingColumns=True).groupBy("v").agg(
+            F.first("s", ignorenulls=True).alias("s"), F.first("g", ignorenulls=True).alias("g")
         )
-        log.append((core.where(leaf).select("v", "p", "acc", "segs", "row"), squeezed))
-        core = stay.select(
+        # what each squeezed node needs to come back: its edge to the parent, and the child's edge to it
+        moved = F.col("g").isNotNull()
+        stay = met.select(
             "v",
-            F.when(moved, F.col("gp")).otherwise(F.col("p")).alias("p"),
-            "acc",
-            F.when(moved, F.col("w") + F.col("gacc") + F.col("gw")).otherwise(F.col("w")).alias("w"),
-            F.when(moved, F.concat("gsegs", F.array("gv"), "segs")).otherwise(F.col("segs")).alias("segs"),
-            "row",
-            (F.col("turn") + 1).alias("turn"),
-            "n",
-        )
+            F.when(moved, F.col("g.p")).otherwise(F.col("s.p")).alias("p"),
+            F.col("s.acc").alias("acc"),
+            (F.col("s.w") + F.when(moved, F.col("g.acc") + F.col("g.w")).otherwise(0)).alias("w"),
+            F.when(moved, F.concat("g.segs", F.array("g.v"), "s.segs")).otherwise(F.col("s.segs")).alias("segs"),
+            F.col("s.row").alias("row"), (F.col("s.turn") + 1).alias("turn"), F.col("s.n").alias("n"), "g", F.col("s.w").alias("cw"),
+        )
+        raked = core.where(leaf).select("v", "p", "acc", "segs", "row")
+        whole, moves, n = _written(stay, moving)
+        squeezed = whole.where(moved).select(F.col("g.v").alias("v"), F.col("g.p").alias("p"), F.col("v").alias("c"), F.col("g.acc").alias("acc"), "cw", F.col("g.segs").alias("segs"), F.col("g.row").alias("row"))
+        log.append((raked, squeezed, most))
+        core, most = whole.drop("g", "cw"), n
 
     loop = F.col("p").isNotNull()
     done = core.select(
@@ -95,14 +108,16 @@ def hierarchies(links: DataFrame, node: str, parent: str) -> DataFrame:
             F.col("row"),
         ]
 
-    for raked, squeezed in reversed(log):
+    for raked, squeezed, most in reversed(log):
         above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
         under = done.select(F.col("v").alias("c"), F.col("state").alias("c_state"), F.col("total").alias("c_total"))
         cyclic = F.col("c_state") == "cycle"
         back = squeezed.hint("merge").join(above, "p").hint("merge").join(under, "c").select(*below(F.col("acc") + F.col("cw") + F.col("c_total"), cyclic))
         done = done.unionByName(back)
         above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
-        done = cut(done.unionByName(raked.hint("merge").join(above, "p").select(*below(F.col("acc"), F.lit(False)))))
+        # the children of a hub are dealt over several tasks
+        met = hot_join(raked, above, ["p"], least_hot=hub) if most > hub else raked.hint("merge").join(above, "p")
+        done = cut(done.unionByName(met.select(*below(F.col("acc"), F.lit(False)))))
     return done.where("row").select(
         F.col("v").alias("node"), "root", "depth", "state", "path", (F.col("total") - 1).cast("int").alias("descendants")
     )

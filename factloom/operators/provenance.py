@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import first_parameter, own_slots
 from factloom.operators.graph import resolves_to, sole_callees
-from factloom.operators.views import call_edges, facts, is_reserved, latest_of, subject_classes
+from factloom.operators.views import OWNER_PREDICATES, call_edges, facts, is_reserved, latest_of, subject_classes
 from factloom.session import cut
 
+#: Size of a thunk, depth of the rules, share of library callees, slots of a method, length of a chain of thunks.
 THUNK_BYTES, ROUNDS, DOMINANCE, OWN_SLOTS, IMPORT_HOPS = 32, 5, 0.8, 2, 3
 
+NEEDED = ("calls", "imports", "size_bytes", "decompiles_to", "has_name", *OWNER_PREDICATES)
+
 
 def thunks(obs: DataFrame) -> DataFrame:
     """(src, dst): small functions with one callee."""
@@ -41,12 +44,15 @@ def provenance(obs: DataFrame) -> DataFrame:
     Round 0 applies the shallow rules; each of five rounds lets a thunk take its target's verdict, a function whose
     callees are library code to four fifths become library code, and one that calls shallow application code
     become application code.  All functions of a round are judged by the verdicts of the round before, so that
-    diamonds and cycles don't matter.
+    diamonds and cycles don't matter.  The facts that the rules read are written once, so that obs is scanned twice.
     """
+    names = obs.select("subject").where("subject is not null").distinct()
+    read = facts(obs, *NEEDED).select("subject", "predicate", "value", "id")
+    obs = cut(read.unionByName(names, allowMissingColumns=True))
     edges = cut(call_edges(obs))
     thin = cut(thunks(obs))
-    base = shallow(obs)
-    state = cut(base.withColumn("first", F.col("verdict")))
+    base = cut(shallow(obs))
+    state = base.withColumn("first", F.col("verdict"))
     called = cut(edges.join(base.select(F.col("subject").alias("dst"), F.col("verdict").alias("own")), "dst", "left"))
     for _ in range(ROUNDS):
         now = state.select(F.col("subject").alias("dst"), F.col("verdict").alias("v"))

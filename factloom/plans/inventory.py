@@ -133,15 +133,17 @@ def t21_signatures(spark: SparkSession, sf: str) -> DataFrame:
     rows = _functions(spark, sf).where("signature is not null").select("fact_id", squeeze(F.col("signature")).alias("s"))
     parts = r"^(.*?[ *])([A-Za-z_~][\w:~]*)\((.*)\)$"
     inside = F.trim(F.regexp_extract("s", parts, 3))
-    n = F.when(inside.isin("", "void"), 0).otherwise(F.size(F.split(inside, ",")))
+    n = F.when(inside.isin("", "void"), 0).otherwise(F.size(T.top_level(inside)))
     return rows.where(F.regexp_extract("s", parts, 2) != "").select("fact_id", F.trim(F.regexp_extract("s", parts, 1)).alias("return_type"), F.regexp_extract("s", parts, 2).alias("name"), n.alias("n_params"))
 
 
 def t25_parameter_types(spark: SparkSession, sf: str) -> DataFrame:
     """Types of parameters over all signatures, with the width where it is known."""
     inside = F.regexp_extract("signature", r"\((.*)\)", 1)
-    rows = _functions(spark, sf).where("signature is not null").select(F.explode(F.split(inside, ",")).alias("p"))
-    kind = F.trim(F.regexp_extract(F.trim("p"), r"^(.*?)\s*\w+$", 1))
+    rows = _functions(spark, sf).where("signature is not null").select(F.explode(T.top_level(inside)).alias("p"))
+    # a last word is the name only after a blank, a star or a reference, and if it is no basic type itself
+    named, last = F.trim(F.regexp_extract("p", r"^(.*[ *&])\w+$", 1)), F.regexp_extract("p", r"(\w+)$", 1)
+    kind = F.when((named != "") & ~last.isin(*WIDTHS), named).otherwise(F.col("p"))
     width = F.when(F.col("type").contains("*"), 8).otherwise(F.coalesce(*(F.when(F.col("type") == k, v) for k, v in WIDTHS.items())))
     return rows.select(kind.alias("type")).where("type <> ''").groupBy("type").agg(F.count("*").alias("n")).withColumn("width", width)
 
@@ -153,9 +155,9 @@ def t28_stack_locals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x61_strings(spark: SparkSession, sf: str) -> DataFrame:
-    """String facts without their quotes."""
+    """String facts without the quotes around them, if they have any."""
     rows = V.latest(V.facts(V.observations(spark, sf), "contains_string"), "subject")
-    return rows.select("subject", F.regexp_extract("value", r'^\s*"(.*)"\s*$', 1).alias("text")).where("text <> ''")
+    return rows.select("subject", F.coalesce(F.nullif(F.regexp_extract("value", r'(?s)^\s*"(.*)"\s*$', 1), F.lit("")), squeeze(F.col("value"))).alias("text")).where("text not in ('', '\"\"')")
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factloom.functions.names import NO, YES
+from factloom.functions.text import NO_TYPE
 from factloom.operators.views import NOISE_CONTAINS, NOISE_EXACT, NOISE_OWNERS, NOISE_PREFIXES, OWNERLESS, OWNER_PREDICATES
 from factloom.plans.reference import WIDTHS
 
@@ -122,6 +123,59 @@ P2_CTES = (
 )
 _BELOW = class_cte("recovered_classes", {"name": "name", "base": "base"})
 
+ROOTS = """roots AS (SELECT subject AS node FROM obs WHERE predicate = 'exports' AND value = 'entry' UNION
+  SELECT src FROM calls WHERE src IS NOT NULL AND src NOT IN (SELECT dst FROM calls) AND NOT EXISTS (SELECT 1 FROM obs WHERE predicate = 'exports' AND value = 'entry'))"""
+REACHED = "reached(node, depth) USING KEY (node) AS (SELECT node, 0 FROM roots UNION SELECT dst, min(depth) + 1 FROM reached JOIN calls ON src = node WHERE dst NOT IN (SELECT node FROM recurring.reached) GROUP BY 1)"
+SOLE = "sole AS (SELECT src, min(dst) AS dst FROM calls GROUP BY 1 HAVING count(*) = 1)"
+THIN = """sized AS (SELECT subject, try_cast(trim(arg_max(value, id)) AS BIGINT) AS size FROM obs WHERE predicate = 'size_bytes' AND value IS NOT NULL GROUP BY 1),
+thin AS (SELECT src, dst FROM sole JOIN sized ON src = sized.subject WHERE size <= 32)"""
+IMPORTED = "imp AS (SELECT DISTINCT subject AS node FROM obs WHERE predicate = 'imports' AND value IS NOT NULL)"
+FORWARDING = "fwd(node, depth) USING KEY (node) AS (SELECT node, 0 FROM imp UNION SELECT src, min(depth) + 1 FROM fwd JOIN thin ON dst = node WHERE depth < 3 AND src NOT IN (SELECT node FROM recurring.fwd) GROUP BY 1)"
+CHAINED = "chain(node, depth) USING KEY (node) AS (SELECT node, 0 FROM imp UNION SELECT src, min(depth) + 1 FROM chain JOIN sole ON dst = node WHERE depth < 5 AND src NOT IN (SELECT node FROM recurring.chain) GROUP BY 1)"
+
+
+def slots(body: str, parameter: str) -> str:
+    """How many different slots of the object in a parameter a body touches."""
+    rest = rf"regexp_extract({body}, '(?s)(\{{.*)$', 1)"
+    array = rf"list_transform(regexp_extract_all({rest}, {parameter} || '\[([^\]]*)\]', 1), lambda x: trim(x))"
+    plus = rf"list_transform(regexp_extract_all({rest}, {parameter} || ' \+ ([0-9a-fA-Fx]+)', 1), lambda x: '+' || x)"
+    star = rf"CASE WHEN regexp_matches({rest}, '\*' || {parameter} || '([^A-Za-z0-9_\[]|$)') THEN ['*'] ELSE [] END"
+    return f"CASE WHEN {parameter} <> '' THEN len(list_distinct(list_concat(list_concat({array}, {plus}), {star}))) ELSE 0 END"
+
+
+def first_parameter(body: str) -> str:
+    inside = rf"regexp_extract({body}, '(?s)^[^{{(]*\(([^{{]*)\)[^{{)]*\{{', 1)"
+    head = f"trim(string_split({inside}, ',')[1])"
+    return f"CASE WHEN {head} NOT IN ('', 'void') THEN regexp_extract({head}, '([^ *]+)[ *]*$', 1) END"
+
+
+_ROUND = lambda k: f"""v{k} AS (SELECT s.subject, s.first, coalesce(s.first, t.target, s.verdict, CASE WHEN m.share >= 0.8 THEN 'LIBRARY_OR_RUNTIME' WHEN m.direct THEN 'APPLICATION' END) AS verdict FROM v{k - 1} s
+  LEFT JOIN (SELECT src, avg(CASE WHEN v.verdict = 'LIBRARY_OR_RUNTIME' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share, bool_or(coalesce(v.first = 'APPLICATION', false)) AS direct FROM calls LEFT JOIN v{k - 1} v ON v.subject = dst GROUP BY 1) m ON m.src = s.subject
+  LEFT JOIN (SELECT thin.src, v.verdict AS target FROM thin JOIN v{k - 1} v ON v.subject = thin.dst) t ON t.src = s.subject)"""
+PROVENANCE = [
+    SOLE, THIN, IMPORTED, FORWARDING,
+    "near AS (SELECT DISTINCT src AS subject FROM calls WHERE dst IN (SELECT node FROM fwd WHERE depth > 0))",
+    f"bodies AS (SELECT subject, body, {first_parameter('body')} AS par FROM (SELECT subject, arg_max(value, id) AS body FROM obs WHERE predicate = 'decompiles_to' AND value IS NOT NULL GROUP BY 1))",
+    f"slotted AS (SELECT subject, {slots('body', 'par')} AS n FROM bodies)",
+    f"""own AS (SELECT subject, arg_max(value, id) AS owner FROM obs WHERE predicate IN ({quoted(OWNER_PREDICATES)}) AND value IS NOT NULL GROUP BY 1)""",
+    f"""v0 AS (SELECT subject, verdict AS first, verdict FROM (SELECT c.subject, CASE WHEN class = 'LIBRARY_OR_COMPILER' THEN 'LIBRARY_OR_RUNTIME' WHEN own.owner IS NOT NULL AND NOT {RESERVED('own.owner')} THEN 'APPLICATION'
+      WHEN slotted.n >= 2 AND near.subject IS NOT NULL THEN 'APPLICATION' END AS verdict FROM cls c LEFT JOIN own USING (subject) LEFT JOIN slotted USING (subject) LEFT JOIN near ON near.subject = c.subject))""",
+    *(_ROUND(k) for k in range(1, 6)),
+    "prov AS (SELECT subject, coalesce(verdict, 'UNKNOWN') AS provenance FROM v5)",
+]
+_LINES = "string_split(inner_text, chr(10))"
+_DECLARED = r"^\s*[^=(,;]*?([\w\[\]:<>&]+)\s*(?:\*\s*)+([A-Za-z_]\w*)\s*;\s*$"
+#: Whether a body is degenerate: empty, or a local pointer in it is read and never assigned.
+DEGENERATE = rf"""({EMPTY} OR len(list_filter(list_distinct(list_transform(list_filter({_LINES}, lambda x: regexp_extract(x, '{_DECLARED}', 2) <> '' AND regexp_extract(x, '{_DECLARED}', 1) NOT IN ({quoted(NO_TYPE)})),
+  lambda x: regexp_extract(x, '{_DECLARED}', 2))), lambda n:
+  len(list_filter({_LINES}, lambda x: (NOT regexp_matches(x, '\*\s*' || n || '\s*;\s*$') OR regexp_matches(x, '[=(,]')) AND (regexp_matches(x, '\*\s*' || n || '(\W|$)') OR regexp_matches(x, '(^|\W)' || n || '->')))) > 0
+  AND len(list_filter({_LINES}, lambda x: (NOT regexp_matches(x, '\*\s*' || n || '\s*;\s*$') OR regexp_matches(x, '[=(,]')) AND regexp_matches(x, '(^\s*|[^*\s]\s+|[^*\s\w])' || n || '\s*=([^=]|$)'))) = 0)) > 0)"""
+BODIES = rf"""judged AS (SELECT *, {DEGENERATE} AS degenerate FROM (SELECT *, regexp_extract({REST}, '(?s)^\{{(.*)\}}$', 1) AS inner_text FROM ff WHERE decompilation IS NOT NULL))"""
+
+_SIZED = """sized_data AS (SELECT subject, try_cast(n AS BIGINT) AS size_bytes, bytes_hex FROM (SELECT subject, max(v) FILTER (predicate = 'data_size_bytes') AS n, max(v) FILTER (predicate = 'data_bytes_hex') AS bytes_hex,
+  max(v) FILTER (predicate = 'data_section') AS s, max(v) FILTER (predicate = 'data_executable') AS x, max(v) FILTER (predicate = 'data_type_name') AS t FROM l GROUP BY 1)
+  WHERE NOT coalesce(x = 'true' AND s = '.text', false) AND coalesce(t, '') <> 'undefined' AND regexp_matches(n, '^[+]?[0-9]+$') AND try_cast(n AS BIGINT) IS NOT NULL)"""
+
 ORACLES: dict[str, str] = {
     "p2_found": _with(*P2_CTES) + "SELECT * FROM found WHERE state IS NOT NULL",
     "p2_report": _with(*P2_CTES) + "SELECT ref_table, ref_field, ref_month, state, count(*) AS n_references, count(DISTINCT row_id) AS n_rows FROM found WHERE state IS NOT NULL GROUP BY 1, 2, 3, 4",
@@ -153,10 +207,11 @@ ORACLES: dict[str, str] = {
       LEFT JOIN (SELECT subject, arg_max(value, id) AS role FROM hyp WHERE status = 'ACCEPTED' AND predicate = 'semantic_role' AND value IS NOT NULL GROUP BY 1) USING (subject)
       LEFT JOIN (SELECT subject, arg_max(value, id) AS does FROM hyp WHERE status = 'ACCEPTED' AND predicate = 'mechanical_behavior' AND value IS NOT NULL GROUP BY 1) USING (subject)""",
     "f27_symbol_addresses": _with(OBS, f"s AS (SELECT DISTINCT {squeeze('value')} AS symbol FROM obs WHERE predicate = 'data_symbol_name')")
-    + "SELECT symbol, '0x' || regexp_replace(regexp_extract(symbol, '_([0-9a-f]{6,})$', 1), '^0+(.)', '\\1') AS address FROM s WHERE regexp_extract(symbol, '_([0-9a-f]{6,})$', 1) <> ''",
-    "f28_confident_data": _with(OBS, f"l AS (SELECT subject, predicate, {squeeze('arg_max(value, id)')} AS v FROM obs WHERE value IS NOT NULL GROUP BY 1, 2)")
-    + """SELECT subject, data_section, size_bytes::BIGINT AS size_bytes FROM (SELECT subject, max(v) FILTER (predicate = 'data_section') AS data_section, max(v) FILTER (predicate = 'data_size_bytes') AS size_bytes,
-      max(v) FILTER (predicate = 'data_readable') AS r, max(v) FILTER (predicate = 'data_executable') AS x FROM l GROUP BY 1) WHERE data_section <> '' AND r = 'true' AND x = 'false' AND regexp_matches(size_bytes, '^[0-9]{1,18}$')""",
+    + "SELECT symbol, '0x' || lower(h) AS address FROM (SELECT symbol, list_filter(string_split(symbol, '_'), lambda x: regexp_matches(x, '^[0-9a-fA-F]+$'))[-1] AS h FROM s WHERE symbol <> '') WHERE regexp_matches(h, '[a-fA-F]') OR length(h) >= 6",
+    "f28_sized_data": _with(OBS, f"l AS (SELECT subject, predicate, {squeeze('arg_max(value, id)')} AS v FROM obs WHERE value IS NOT NULL GROUP BY 1, 2)", _SIZED)
+    + "SELECT subject, size_bytes, bytes_hex FROM sized_data",
+    "f28_confident_data": _with(OBS, f"l AS (SELECT subject, predicate, {squeeze('arg_max(value, id)')} AS v FROM obs WHERE value IS NOT NULL GROUP BY 1, 2)", _SIZED)
+    + "SELECT subject, size_bytes, bytes_hex FROM sized_data WHERE len(bytes_hex) % 2 = 0 AND NOT regexp_matches(bytes_hex, '[^0-9a-fA-F]')",
     "f30_known_callees": _with(OBS, CALLS) + """SELECT dst AS subject, count(*) AS n_callers, dst IN (SELECT subject FROM obs WHERE predicate = 'calling_convention' AND value IS NOT NULL AND subject IS NOT NULL) AS is_function,
       dst IN (SELECT subject FROM obs WHERE predicate = 'imports' AND value IS NOT NULL AND subject IS NOT NULL) AS is_import FROM calls GROUP BY dst""",
     "j1_evidence": _with(OBS) + f"""SELECT c.id AS hypothesis_id, c.pos::INT AS pos, c.n AS evidence_id, e.observation_id, o.subject, o.predicate FROM {CITED("supporting_evidence")} c
@@ -205,10 +260,9 @@ ORACLES: dict[str, str] = {
     + "SELECT id FROM hit JOIN hyp USING (id) WHERE status NOT IN ('REJECTED', 'STALE')",
     "g10_import_chains": _with(OBS, CALLS, "sole AS (SELECT src, min(dst) AS dst FROM calls GROUP BY 1 HAVING count(*) = 1)", "imp AS (SELECT DISTINCT subject AS node FROM obs WHERE predicate = 'imports' AND value IS NOT NULL)",
         "back AS (SELECT node, 0 AS d FROM imp UNION SELECT src, d + 1 FROM sole JOIN back ON dst = node WHERE d < 5)", recursive=True) + "SELECT DISTINCT node AS subject FROM back WHERE d > 0 AND node NOT IN (SELECT node FROM imp)",
-    "g2_reachable": _with(OBS, CALLS, "lv AS (SELECT min(src) AS node, 0 AS depth FROM calls UNION SELECT dst, depth + 1 FROM calls JOIN lv ON src = node WHERE depth < 40)", recursive=True)
-    + "SELECT node AS subject, min(depth)::INT AS depth FROM lv GROUP BY 1",
-    "g4_api_hints": _with(OBS, CALLS, NAMES, "lv AS (SELECT min(src) AS node, 0 AS depth FROM calls UNION SELECT dst, depth + 1 FROM calls JOIN lv ON src = node WHERE depth < 3)", "near AS (SELECT node, min(depth) AS depth FROM lv GROUP BY 1)", recursive=True)
-    + "SELECT name, min(depth)::INT AS depth FROM near JOIN names ON node = subject WHERE depth > 0 AND NOT starts_with(name, 'FUN_') GROUP BY 1",
+    "g2_reachable": _with(OBS, CALLS, ROOTS, REACHED, recursive=True) + "SELECT node AS subject, depth::INT AS depth FROM reached",
+    "g4_api_hints": _with(OBS, CALLS, NAMES, ROOTS, REACHED, recursive=True)
+    + "SELECT name, min(depth)::INT AS depth FROM reached JOIN names ON node = subject WHERE depth BETWEEN 1 AND 3 AND NOT starts_with(name, 'FUN_') GROUP BY 1",
     "s10_linker_symbols": r"""SELECT symbol, CASE WHEN a <> '' THEN 'FUNCTION' ELSE 'DATA' END AS kind, CASE WHEN a <> '' THEN '0x' || lower(a) END AS address, n_logs, first_doc FROM (
       SELECT symbol, regexp_extract(symbol, '^(?:thunk_)?FUN_([0-9A-Fa-f]+)$', 1) AS a, count(DISTINCT doc_id) AS n_logs, min(doc_id) AS first_doc FROM (
         SELECT doc_id, unnest(regexp_extract_all(text, 'undefined reference to `([^''(]+)', 1)) AS symbol FROM documents WHERE doc_type = 'link_log') GROUP BY 1)""",
@@ -218,10 +272,10 @@ ORACLES: dict[str, str] = {
       array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM hyp GROUP BY 1) LEFT JOIN (SELECT subject, count(*) AS n_facts, count(DISTINCT predicate) AS n_predicates FROM obs WHERE predicate <> 'agent_flagged_contradiction' GROUP BY 1) USING (subject)""",
     "t1_fingerprints": f"SELECT fp, count(*) AS n_functions, min(fact_id) AS first_fact FROM (SELECT fact_id, {FP} AS fp FROM function_facts) WHERE fp IS NOT NULL GROUP BY 1",
     "t4_words": _with(HYP) + f"SELECT word, count(*) AS n_hypotheses FROM (SELECT id, unnest({WORDS('value')}) AS word FROM hyp) GROUP BY 1",
-    "t10_data_references": "SELECT fact_id, unnest(list_distinct(regexp_extract_all(decompilation, '((?:DAT|PTR)_[0-9a-f]+)', 1))) AS symbol FROM function_facts",
+    "t10_data_references": r"SELECT fact_id, unnest(list_distinct(list_filter(regexp_split_to_array(decompilation, '[^A-Za-z0-9_]+'), lambda x: (starts_with(x, 'DAT_') OR starts_with(x, 'PTR_')) AND length(x) > 4))) AS symbol FROM function_facts",
     "t11_calls_in_order": "SELECT fact_id, (generate_subscripts(l, 1) - 1)::INT AS pos, '0x' || lower(unnest(l)) AS callee FROM (SELECT fact_id, regexp_extract_all(decompilation, 'FUN_([0-9A-Fa-f]+)', 1) AS l FROM function_facts)",
     "t26_comments": f"SELECT * FROM (SELECT fact_id, length(decompilation)::INT AS n_chars, length({STRIP('decompilation')})::INT AS n_code FROM function_facts WHERE decompilation IS NOT NULL) WHERE n_code < n_chars",
-    "t27_literals": "SELECT t::BIGINT AS value, count(*) AS n, count(DISTINCT fact_id) AS n_functions FROM (SELECT fact_id, unnest(regexp_extract_all(decompilation, '(0x[0-9a-f]{1,6})[^0-9a-zA-Z]', 1)) AS t FROM function_facts) GROUP BY 1",
+    "t27_literals": r"SELECT t::BIGINT AS value, count(*) AS n, count(DISTINCT fact_id) AS n_functions FROM (SELECT fact_id, unnest(list_filter(regexp_split_to_array(decompilation, '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^0x[0-9a-fA-F]+$'))) AS t FROM function_facts) GROUP BY 1",
     "t38_field_accesses": r"""SELECT fact_id, count(*) AS n_fields, max(t) AS last_offset FROM (SELECT fact_id, unnest(list_distinct(regexp_extract_all(decompilation, '\*\([a-z0-9]+ \*\)\(param_[0-9]+ \+ (0x[0-9a-f]+)\)', 1)))::BIGINT AS t FROM function_facts) WHERE t <> 0 GROUP BY 1""",
     "f1_ingest": _with(OBS, FUNCTIONS, """t AS (SELECT subject, 'has_name' AS predicate, name AS value, 'ghidra:function' AS source FROM ff UNION ALL SELECT subject, 'has_signature', signature, 'ghidra:function' FROM ff
       UNION ALL SELECT subject, 'calling_convention', calling_convention, 'ghidra:function' FROM ff UNION ALL SELECT subject, 'size_bytes', size::VARCHAR, 'ghidra:function' FROM ff
@@ -255,3 +309,46 @@ ORACLES["p6_found"] = _with(
     "fs AS (SELECT snapshot_id, generate_subscripts(l, 1) - 1 AS fp, unnest(l) AS f FROM (SELECT snapshot_id, json_extract(payload, '$.functions[*]') AS l FROM docs))",
     f"links AS ({_links('caller')} UNION ALL {_links('callee')})",
 ) + f"""SELECT snapshot_id, fp::INT AS function_pos, {_json_address("f")} AS function_address, side AS link_side, lp::INT AS link_pos, {_json_address("x")} AS link_address FROM links WHERE json_type(x) <> 'NULL'"""
+
+
+STARTUP = [
+    "entry AS (SELECT min(node) AS node FROM roots)",
+    "siblings AS (SELECT DISTINCT c.dst AS node FROM calls c JOIN sole ON sole.dst = c.src JOIN entry ON sole.src = entry.node)",
+    "walked AS (SELECT node AS root, node FROM siblings UNION SELECT root, dst FROM walked JOIN calls ON src = node)",
+    "ranked AS (SELECT root, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, root DESC) AS k FROM walked GROUP BY 1)",
+    "main AS (SELECT a.root FROM ranked a JOIN ranked b ON a.k = 1 AND b.k = 2 WHERE a.n >= 3 * b.n)",
+    "from_entry AS (SELECT node FROM entry WHERE node IS NOT NULL UNION SELECT dst FROM from_entry JOIN calls ON src = node)",
+    "startup AS (SELECT node FROM from_entry WHERE EXISTS (SELECT 1 FROM main) AND node NOT IN (SELECT node FROM walked JOIN main USING (root)))",
+]
+_ALL = (OBS, CALLS, NAMES, CLASSES, ROOTS, REACHED, *PROVENANCE, CHAINED, *STARTUP, FUNCTIONS, BODIES)
+_DISPOSED = """disposed AS (SELECT subject, n_callers, CASE WHEN r.node IS NULL THEN 'UNREACHABLE' WHEN s.node IS NOT NULL THEN 'RUNTIME_ARTIFACT' WHEN provenance = 'APPLICATION' THEN 'REQUIRED_APPLICATION'
+  WHEN coalesce(provenance, 'UNKNOWN') = 'UNKNOWN' THEN CASE WHEN body THEN 'REQUIRED_UNKNOWN' ELSE 'DEFERRED' END WHEN body THEN 'REQUIRED_RUNTIME_BODY' WHEN c.node IS NOT NULL THEN 'EXTERNAL_LIBRARY' ELSE 'COMPILER_RUNTIME' END AS disposition
+  FROM (SELECT dst AS subject, count(*) AS n_callers FROM calls GROUP BY 1) LEFT JOIN reached r ON r.node = subject LEFT JOIN startup s ON s.node = subject LEFT JOIN prov USING (subject)
+  LEFT JOIN (SELECT subject, bool_or(NOT degenerate) AS body FROM judged GROUP BY 1) USING (subject) LEFT JOIN (SELECT node FROM chain WHERE depth > 0) c ON c.node = subject)"""
+_HIERARCHY = [
+    _BELOW.replace("rc AS", "lk AS", 1), "up_own AS (SELECT name, max(base) AS base FROM lk WHERE name IS NOT NULL GROUP BY 1)",
+    "up AS (SELECT name, [name] AS way, base AS nxt FROM up_own UNION ALL SELECT up.name, list_append(way, up.nxt), o.base FROM up LEFT JOIN up_own o ON o.name = up.nxt WHERE up.nxt IS NOT NULL AND NOT list_contains(way, up.nxt))",
+    "rooted AS (SELECT name AS class_name, CASE WHEN nxt IS NULL THEN way[-1] ELSE list_min(way[list_position(way, nxt):]) END AS root FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY len(way) DESC) AS k FROM up) WHERE k = 1)",
+    RC, SLOTS, "rs AS (SELECT slots.*, root FROM slots JOIN rooted USING (class_name))",
+]
+ORACLES |= {
+    "j4_hierarchy_slots": _with(*_HIERARCHY, recursive=True) + "SELECT root, slot::INT AS slot, count(DISTINCT class_name) AS n_classes, min(class_name) AS first_class FROM rs GROUP BY 1, 2 HAVING count(DISTINCT class_name) > 1",
+    "j5_hierarchy_roles": _with(*_HIERARCHY, HYP, ROLES, recursive=True) + """SELECT s.class_name, s.slot::INT AS slot, s.address, g.c AS from_class, g.r AS role FROM rs s
+      JOIN (SELECT root, slot, min({'c': class_name, 'r': role}) AS g FROM rs JOIN roles ON address = subject GROUP BY 1, 2) USING (root, slot) WHERE s.address IS NOT NULL AND s.address NOT IN (SELECT subject FROM roles)""",
+    "f8_substantive_bodies": _with(FUNCTIONS, BODIES) + """SELECT program, subject, arg_max(fact_id, {'g': NOT degenerate, 'e': coalesce(extracted_at, TIMESTAMP '0001-01-01'), 'f': fact_id}) AS fact_id, bool_or(NOT degenerate) AS substantive FROM judged GROUP BY 1, 2""",
+    "g5_provenance": _with(OBS, CALLS, NAMES, CLASSES, *PROVENANCE, recursive=True) + "SELECT subject, provenance FROM prov",
+    "a4_claim_breakdown": _with(OBS, CALLS, NAMES, CLASSES, *PROVENANCE, HYP, recursive=True)
+    + "SELECT coalesce(provenance, 'UNKNOWN') AS provenance, count(*) AS n_claims FROM hyp LEFT JOIN prov USING (subject) WHERE status = 'ACCEPTED' AND predicate = 'semantic_role' GROUP BY 1",
+    "g16_frontier": _with(OBS, CALLS, NAMES, CLASSES, ROOTS, REACHED, *PROVENANCE, recursive=True)
+    + """SELECT subject, r.node IS NOT NULL AS reachable, CASE WHEN provenance = 'LIBRARY_OR_RUNTIME' THEN 'LIBRARY_OR_RUNTIME' WHEN r.node IS NOT NULL AND provenance = 'APPLICATION' THEN 'NEEDS_RECOVERY' ELSE 'DEFERRED' END AS bucket
+      FROM (SELECT DISTINCT dst AS subject FROM calls WHERE dst NOT IN (SELECT subject FROM obs WHERE predicate = 'decompiles_to' AND value IS NOT NULL AND subject IS NOT NULL)) LEFT JOIN reached r ON r.node = subject LEFT JOIN prov USING (subject)""",
+    "u1_startup_only": _with(OBS, CALLS, ROOTS, SOLE, *STARTUP, recursive=True) + "SELECT node AS subject FROM startup",
+    "g17_dispositions": _with(*_ALL, _DISPOSED, recursive=True) + "SELECT subject, n_callers, disposition FROM disposed",
+    "a11_dispositions": _with(*_ALL, _DISPOSED, recursive=True) + "SELECT disposition, count(*) AS n, sum(n_callers)::BIGINT AS n_callers FROM disposed GROUP BY 1",
+    "m15_gate": _with(OBS, CALLS, NAMES, CLASSES, *PROVENANCE, HYP, f"w AS (SELECT id, subject, predicate, {WORDS('value')} AS ws FROM hyp)",
+        "again AS (SELECT DISTINCT a.id FROM w a JOIN w b ON a.subject = b.subject AND a.predicate = 'semantic_role' AND b.predicate = 'mechanical_behavior' WHERE len(a.ws) > 0 AND len(list_filter(a.ws, lambda x: NOT list_contains(b.ws, x))) = 0)",
+        "plain AS (SELECT *, CASE WHEN last_verified_at IS NOT NULL AND confidence >= 0.85 THEN 'ACCEPTED' WHEN confidence >= 0.6 THEN 'SUPPORTED' ELSE 'PROPOSED' END AS st FROM hyp WHERE status NOT IN ('CONTESTED', 'REJECTED'))", recursive=True)
+    + """SELECT id AS hypothesis_id, status AS old_status, CASE WHEN st = 'ACCEPTED' AND predicate = 'semantic_role' AND coalesce(provenance, 'UNKNOWN') <> 'APPLICATION' THEN 'REJECTED'
+      WHEN st = 'ACCEPTED' AND id IN (SELECT id FROM again) THEN 'CONTESTED' ELSE st END AS new_status FROM plain LEFT JOIN prov USING (subject)""",
+    "t23_parameters": f"SELECT * FROM (SELECT fact_id, {first_parameter('decompilation')} AS parameter, ({slots('decompilation', first_parameter('decompilation'))})::INT AS n_slots FROM function_facts) WHERE parameter <> ''",
+}

@@ -119,20 +119,29 @@ def f25_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f27_symbol_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Addresses spelled in data symbol names."""
+    """Addresses spelled in data symbol names: the last part that is all hex, of six digits or more if it has no letter."""
     names = V.facts(V.observations(spark, sf), "data_symbol_name").select(squeeze(F.col("value")).alias("symbol")).where("symbol <> ''").distinct()
-    return names.withColumn("address", canonical_address(F.regexp_extract("symbol", r"_([0-9a-f]{6,})$", 1))).where("address is not null")
+    return names.withColumn("address", T.symbol_address(F.col("symbol"))).where("address is not null")
+
+
+def _data_facts(spark: SparkSession, sf: str, *predicates: str) -> DataFrame:
+    """(subject, one column per predicate): the latest values of data objects, without blanks around them."""
+    rows = V.latest(V.facts(V.observations(spark, sf), *predicates), "subject", "predicate").groupBy("subject")
+    return rows.agg(*(F.max(F.when(F.col("predicate") == p, squeeze(F.col("value")))).alias(p) for p in predicates))
+
+
+def f28_sized_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Data objects whose size is stated, not estimated, of a committed type, and that aren't program text; their bytes where known."""
+    wide = _data_facts(spark, sf, "data_size_bytes", "data_section", "data_executable", "data_type_name", "data_bytes_hex")
+    code = F.coalesce((F.col("data_executable") == "true") & (F.col("data_section") == ".text"), F.lit(False))
+    typed = F.coalesce(F.col("data_type_name") != "undefined", F.lit(True))
+    size, whole = F.col("data_size_bytes").try_cast("bigint"), F.col("data_size_bytes").rlike("^[+]?[0-9]+$")
+    return wide.where(~code & typed & whole & size.isNotNull()).select("subject", size.alias("size_bytes"), F.col("data_bytes_hex").alias("bytes_hex"))
 
 
 def f28_confident_data(spark: SparkSession, sf: str) -> DataFrame:
-    """Data objects with a confident size and a section, readable and not executable."""
-    obs = V.facts(V.observations(spark, sf), "data_size_bytes", "data_section", "data_readable", "data_executable")
-    wide = V.latest(obs, "subject", "predicate").groupBy("subject").agg(
-        *(F.max(F.when(F.col("predicate") == p, squeeze(F.col("value")))).alias(p) for p in ("data_size_bytes", "data_section", "data_readable", "data_executable"))
-    )
-    return wide.where("data_section <> '' and data_readable = 'true' and data_executable = 'false'").where(F.col("data_size_bytes").rlike("^[0-9]{1,18}$")).select(
-        "subject", "data_section", F.col("data_size_bytes").cast("bigint").alias("size_bytes")
-    )
+    """The objects of f28_sized_data whose bytes are known as well-formed hex."""
+    return f28_sized_data(spark, sf).where(F.col("bytes_hex").rlike("^([0-9a-fA-F]{2})*$"))
 
 
 def f30_known_callees(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,22 +421,26 @@ def g1_stale_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return G.stale_cascade(V.dependencies(spark, sf), hyp.where("status = 'REJECTED'").select("id"), hyp)
 
 
-def _root(edges: DataFrame) -> DataFrame:
-    """The caller with the least address stands for the entry point."""
-    return edges.agg(F.min("src").alias("node"))
+def _roots(obs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): the exported entry point; without one, the functions that call others and that nobody calls."""
+    entry = V.facts(obs, "exports").where("value = 'entry'").select(F.col("subject").alias("node")).distinct()
+    if not entry.isEmpty():
+        return entry
+    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
 def g2_reachable(spark: SparkSession, sf: str) -> DataFrame:
     """What the entry point reaches by calls, and in how many steps."""
-    edges = V.call_edges(V.observations(spark, sf))
-    return G.reachable(edges, _root(edges)).withColumnRenamed("node", "subject")
+    obs = V.observations(spark, sf)
+    edges = cut(V.call_edges(obs))
+    return G.reachable(edges, _roots(obs, edges)).withColumnRenamed("node", "subject")
 
 
 def g4_api_hints(spark: SparkSession, sf: str) -> DataFrame:
     """Real names within three calls of the entry point, and how near."""
     obs = V.observations(spark, sf)
-    edges = V.call_edges(obs)
-    near = G.reachable(edges, _root(edges), 3).where("depth > 0")
+    edges = cut(V.call_edges(obs))
+    near = G.reachable(edges, _roots(obs, edges), 3).where("depth > 0")
     names = V.latest_of(obs, "has_name", "name").withColumnRenamed("subject", "node").where("not startswith(name, 'FUN_')")
     return near.join(names, "node").groupBy("name").agg(F.min("depth").alias("depth"))
 
@@ -458,10 +471,10 @@ def s10_linker_symbols(spark: SparkSession, sf: str) -> DataFrame:
 def g16_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """Called functions without a stored body: reachable, and what their origin asks for."""
     obs = V.observations(spark, sf)
-    edges = V.call_edges(obs)
+    edges = cut(V.call_edges(obs))
     bodies = V.facts(obs, "decompiles_to").select("subject").distinct()
     open_ = edges.select(F.col("dst").alias("subject")).distinct().join(bodies, "subject", "left_anti")
-    reach = G.reachable(edges, _root(edges)).select(F.col("node").alias("subject"), F.lit(True).alias("r"))
+    reach = G.reachable(edges, _roots(obs, edges)).select(F.col("node").alias("subject"), F.lit(True).alias("r"))
     wide = open_.join(reach, "subject", "left").join(provenance(obs), "subject", "left")
     bucket = F.when(F.col("provenance") == "LIBRARY_OR_RUNTIME", "LIBRARY_OR_RUNTIME").when(F.col("r") & (F.col("provenance") == "APPLICATION"), "NEEDS_RECOVERY").otherwise("DEFERRED")
     return wide.select("subject", F.coalesce("r", F.lit(False)).alias("reachable"), bucket.alias("bucket"))
@@ -470,9 +483,9 @@ def g16_frontier(spark: SparkSession, sf: str) -> DataFrame:
 def g17_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     """What to do with each called function."""
     obs = V.observations(spark, sf)
-    edges = V.call_edges(obs)
+    edges = cut(V.call_edges(obs))
     body = _functions(spark, sf).where("subject is not null").groupBy("subject").agg(F.bool_or(~T.is_degenerate(F.col("decompilation"))).alias("body"))
-    reach = G.reachable(edges, _root(edges)).select(F.col("node").alias("subject"), F.lit(True).alias("r"))
+    reach = G.reachable(edges, _roots(obs, edges)).select(F.col("node").alias("subject"), F.lit(True).alias("r"))
     chained = g10_import_chains(spark, sf).withColumn("chained", F.lit(True))
     wide = edges.groupBy(F.col("dst").alias("subject")).agg(F.count("*").alias("n_callers"))
     startup = u1_startup_only(spark, sf).withColumn("startup", F.lit(True))
@@ -494,8 +507,10 @@ def g17_dispositions(spark: SparkSession, sf: str) -> DataFrame:
 
 def u1_startup_only(spark: SparkSession, sf: str) -> DataFrame:
     """What the entry point reaches but the main function (see graph.startup_only) doesn't; empty if none stands out."""
-    edges = cut(V.call_edges(V.observations(spark, sf)))
-    return G.startup_only(edges, _root(edges)).withColumnRenamed("node", "subject")
+    obs = V.observations(spark, sf)
+    edges = cut(V.call_edges(obs))
+    entry = _roots(obs, edges).agg(F.min("node").alias("node")).where("node is not null")
+    return G.startup_only(edges, entry).withColumnRenamed("node", "subject")
 
 
 def m15_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -544,7 +559,7 @@ def t4_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def t10_data_references(spark: SparkSession, sf: str) -> DataFrame:
     """Data symbols that each body mentions."""
-    found = F.array_distinct(F.regexp_extract_all("decompilation", F.lit(r"((?:DAT|PTR)_[0-9a-f]+)"), 1))
+    found = F.array_distinct(F.regexp_extract_all("decompilation", F.lit(r"(?<![A-Za-z0-9_])((?:DAT|PTR)_[A-Za-z0-9_]+)"), 1))
     return _functions(spark, sf).select("fact_id", F.explode(found).alias("symbol"))
 
 
@@ -562,7 +577,7 @@ def t26_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 def t27_literals(spark: SparkSession, sf: str) -> DataFrame:
     """Hex literals of the bodies: how often, and in how many functions."""
-    rows = _functions(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("decompilation", F.lit(r"(0x[0-9a-f]{1,6})[^0-9a-zA-Z]"), 1)).alias("t"))
+    rows = _functions(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("decompilation", F.lit(r"(?<![A-Za-z0-9_])(0x[0-9a-fA-F]+)(?![A-Za-z0-9_])"), 1)).alias("t"))
     return rows.groupBy(T.int_literal(F.col("t")).alias("value")).agg(F.count("*").alias("n"), F.countDistinct("fact_id").alias("n_functions"))
 
 
@@ -577,7 +592,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_ingest, f2_ingest, f3_live_facts, f4_latest_values, f8_substantive_bodies, f9_empty_bodies, f12_reserved_names, f13_subject_classes, f15_owners, f16_noise,
-        f22_accepted_names, f25_labels, f27_symbol_addresses, f28_confident_data, f30_known_callees, j1_evidence, j2_seeds, j3_fingerprint_reuse,
+        f22_accepted_names, f25_labels, f27_symbol_addresses, f28_sized_data, f28_confident_data, f30_known_callees, j1_evidence, j2_seeds, j3_fingerprint_reuse,
         j4_sibling_slots, j5_sibling_roles, j4_hierarchy_slots, j5_hierarchy_roles, j6_supersessions, j8_restated_roles, j9_call_neighbours, j11_vfunc0, j18_sole_owners, j19_outcomes,
         j23_new_inheritance, j24_class_references, a1_investigation_report, a5_library_ratio, a6_dependents, a7_attempts, a8_coverage, a10_statuses,
         a12_sole_callees, a13_thunks, a14_name_collisions, a16_field_candidates, a17_extents, k1_priorities, k4_wave, g1_stale_cascade, g2_reachable,
