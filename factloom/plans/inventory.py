@@ -195,5 +195,6 @@ ORACLES = {
     "t25_parameter_types": rf"""SELECT type, n, (CASE WHEN contains(type, '*') THEN 8 {' '.join(f"WHEN type = '{k}' THEN {v}" for k, v in WIDTHS.items())} END)::INT AS width FROM (SELECT type, count(*) AS n FROM (
       SELECT trim(regexp_extract(trim(p), '^(.*?)\s*\w+$', 1)) AS type FROM (SELECT unnest(string_split(regexp_extract(signature, '\((.*)\)', 1), ',')) AS p FROM function_facts WHERE signature IS NOT NULL)) WHERE type <> '' GROUP BY 1)""",
     "t28_stack_locals": "SELECT ('0x' || h)::BIGINT AS stack_offset, count(*) AS n_functions FROM (SELECT fact_id, unnest(list_distinct(regexp_extract_all(decompilation, 'local_([0-9a-f]+)', 1))) AS h FROM function_facts) GROUP BY 1",
-    "x61_strings": _w(O.OBS) + r"""SELECT subject, text FROM (SELECT subject, regexp_extract(arg_max(value, id), '^\s*"(.*)"\s*$', 1) AS text FROM obs WHERE predicate = 'contains_string' AND value IS NOT NULL GROUP BY 1) WHERE text <> ''""",
+    "x61_strings": _w(O.OBS, f"s AS (SELECT subject, {O.squeeze('arg_max(value, id)')} AS v FROM obs WHERE predicate = 'contains_string' AND value IS NOT NULL GROUP BY 1)")
+    + """SELECT subject, text FROM (SELECT subject, CASE WHEN length(v) > 1 AND starts_with(v, '"') AND ends_with(v, '"') THEN substr(v, 2, length(v) - 2) ELSE v END AS text FROM s) WHERE text <> ''""",
 }
