@@ -52,7 +52,7 @@ def hierarchies(links: DataFrame, node: str, parent: str, hub: int = 20_000) ->
     leaf = F.coalesce(moving & (F.col("n") == 0), F.lit(False))
     core, moves, most = _written(core, moving)
 
-    log: list[tuple[DataFrame, DataFrame, int]] = []
+    log: list[tuple[DataFrame, int]] = []
     state = ("p", "acc", "w", "segs", "row", "turn")
     while moves:
         up = core.where(F.col("p").isNotNull()).select(
@@ -61,9 +61,10 @@ def hierarchies(links: DataFrame, node: str, parent: str, hub: int = 20_000) ->
         told = core.where(~leaf).select("v", F.struct(*state).alias("s")).unionByName(up, allowMissingColumns=True).groupBy("v").agg(
             F.first("s", ignorenulls=True).alias("s"), F.coalesce(F.sum("add"), F.lit(0)).alias("add"), F.min("only").alias("only"), F.count("m").alias("n")
         )
-        kept = told.select("v", *(F.col(f"s.{c}").alias(c) for c in state), "add", "only", "n").withColumn("acc", F.col("acc") + F.col("add")).drop("add")
+        kept = told.select("v", *(F.col(f"s.{c}").alias(c) for c in state), "add", "only", "n").withColumn("acc", F.col("acc") + F.col("add"))
         mine = _rank("v")
-        go = F.coalesce(moving & (F.col("n") == 1) & (mine > _rank("p")) & (mine > _rank("only")), F.lit(False))
+        # a node that leaves fold into now is squeezed later, so that what a round removes hangs on what it leaves
+        go = F.coalesce(moving & (F.col("n") == 1) & (F.col("add") == 0) & (mine > _rank("p")) & (mine > _rank("only")), F.lit(False))
         kept = kept.withColumn("go", go)
         down = kept.where("go").select(F.col("only").alias("v"), F.struct("v", "p", "acc", "w", "segs", "row").alias("g"))
         met = kept.where("not go").select("v", F.struct(*state, "n").alias("s")).unionByName(down, allowMissingColumns=True).groupBy("v").agg(
@@ -79,10 +80,10 @@ def hierarchies(links: DataFrame, node: str, parent: str, hub: int = 20_000) ->
             F.when(moved, F.concat("g.segs", F.array("g.v"), "s.segs")).otherwise(F.col("s.segs")).alias("segs"),
             F.col("s.row").alias("row"), (F.col("s.turn") + 1).alias("turn"), F.col("s.n").alias("n"), "g", F.col("s.w").alias("cw"),
         )
-        raked = core.where(leaf).select("v", "p", "acc", "segs", "row")
+        raked = core.where(leaf).select("v", "p", F.col("v").alias("c"), "acc", F.lit(0).cast("bigint").alias("cw"), "segs", "row")
         whole, moves, n = _written(stay, moving)
         squeezed = whole.where(moved).select(F.col("g.v").alias("v"), F.col("g.p").alias("p"), F.col("v").alias("c"), F.col("g.acc").alias("acc"), "cw", F.col("g.segs").alias("segs"), F.col("g.row").alias("row"))
-        log.append((raked, squeezed, most))
+        log.append((raked.unionByName(squeezed), most))
         core, most = whole.drop("g", "cw"), n
 
     loop = F.col("p").isNotNull()
@@ -108,16 +109,14 @@ def hierarchies(links: DataFrame, node: str, parent: str, hub: int = 20_000) ->
             F.col("row"),
         ]
 
-    for raked, squeezed, most in reversed(log):
+    for removed, most in reversed(log):
         above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
         under = done.select(F.col("v").alias("c"), F.col("state").alias("c_state"), F.col("total").alias("c_total"))
-        cyclic = F.col("c_state") == "cycle"
-        back = squeezed.hint("merge").join(above, "p").hint("merge").join(under, "c").select(*below(F.col("acc") + F.col("cw") + F.col("c_total"), cyclic))
-        done = done.unionByName(back)
-        above = done.select(F.col("v").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("root", "depth", "state", "path", "total")))
+        known = removed.hint("merge").join(under, "c", "left")  # a leaf stands for its own child, which is not there yet
         # the children of a hub are dealt over several tasks
-        met = hot_join(raked, above, ["p"], least_hot=hub) if most > hub else raked.hint("merge").join(above, "p")
-        done = cut(done.unionByName(met.select(*below(F.col("acc"), F.lit(False)))))
+        met = hot_join(known, above, ["p"], total=known.count(), least_hot=hub) if most > hub else known.hint("merge").join(above, "p")
+        cyclic = F.coalesce(F.col("c_state") == "cycle", F.lit(False))
+        done = cut(done.unionByName(met.select(*below(F.col("acc") + F.col("cw") + F.coalesce("c_total", F.lit(0)), cyclic))))
     return done.where("row").select(
         F.col("v").alias("node"), "root", "depth", "state", "path", (F.col("total") - 1).cast("int").alias("descendants")
     )

@@ -194,6 +194,7 @@ def shapes():
     yield "ring", {f"r{i}": f"r{(i + 1) % 7}" for i in range(7)} | {"x": "r3", "y": "x", "z": "y", "self": "self", "below": "self"}
     rng = random.Random(5)
     yield "random", {f"n{i}": rng.choice([None, f"n{rng.randrange(60)}", f"gone{i % 3}"]) for i in range(60)}
+    yield "two hubs", {f"t{i}": f"hub{i % 2}" for i in range(9)} | {"hub0": "hub1", "hub1": "hub0"}
     yield "star", {f"s{i}": "hub" for i in range(40)} | {"hub": None}
 
 
