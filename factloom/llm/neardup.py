@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.hashing import Powers, batches_of, code_points, mix, prefix_sums, span_hashes
+from factloom.operators.skew import hot_join
 from factloom.session import cut
 
 _U = np.uint64
@@ -206,7 +207,7 @@ def near_links(
     reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     banded = reps.select("id", F.explode("bands").alias("key"))
     counts = cut(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    met = cut(banded.join(counts, "key").join(reps.select("id", *_sketch("s")), "id"))
+    met = cut(hot_join(banded, counts, ["key"], counts=counts, total=signed.count() * bands).join(reps.select("id", *_sketch("s")), "id"))
     left, right = _meet(met, "key", cell)
     right = right.select("key", "x", "y", "b", *(F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)))
     apart = [F.bit_count(F.col(s).bitwiseXOR(F.col(t))) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)]

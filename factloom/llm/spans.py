@@ -11,18 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.hashing import Powers, batches_of, code_points, mix, prefix_sums, span_hashes, window_minima
+from factloom.operators.skew import hot_join
 from factloom.session import cut
 
-_ALPHABET = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
+#: Random-looking 64-bit values of the code points, for two independent hashes.
+_SALTS = (np.uint64(1), np.uint64(0x632BE59BD9B4E019))
+_ALPHABETS = [mix(np.arange(1 << 16, dtype=np.uint64) + salt) for salt in _SALTS]
 
 
-def _values(points: np.ndarray) -> np.ndarray:
-    """A random-looking 64-bit value for each code point."""
+def _values(points: np.ndarray, which: int = 0) -> np.ndarray:
+    """The value of each code point for one of the two hashes."""
     low = np.minimum(points, 0xFFFF)
-    out = _ALPHABET[low]
+    out = _ALPHABETS[which][low]
     far = points > 0xFFFF
     if far.any():
-        out[far] = mix(points[far].astype(np.uint64) + np.uint64(1))
+        out[far] = mix(points[far].astype(np.uint64) + _SALTS[which])
     return out
 
 
@@ -67,14 +70,30 @@ def _runs(docs: DataFrame, doc: str, text: str, k: int, m: int) -> DataFrame:
     return source.mapInArrow(cover, f"minimiser bigint, h bigint, n int, doc {kind}, start int")
 
 
-def _window_hashes(texts: list[str], n: np.ndarray, k: int, kept: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, index of text, offset) of each window of each packed text."""
-    points, bounds = code_points(texts)
-    sums = prefix_sums(_values(points), kept)
-    which = np.repeat(np.arange(len(texts)), n)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    starts = bounds[which] + offset
-    return span_hashes(sums, starts, starts + k, kept), which, offset
+class _Windows:
+    """The windows of k characters of packed texts: window i is in text which[i], from offset[i] there."""
+
+    def __init__(self, texts: list[str], n: np.ndarray, k: int, kept: Powers) -> None:
+        self.points, bounds = code_points(texts)
+        self.which = np.repeat(np.arange(len(texts)), n)
+        self.offset = np.arange(len(self.which)) - np.repeat(np.cumsum(n) - n, n)
+        self.starts, self.k, self.kept = bounds[self.which] + self.offset, k, kept
+
+    def hashes(self, which: int, some: np.ndarray | None = None) -> np.ndarray:
+        """One of the two hashes of all or of some windows."""
+        starts = self.starts if some is None else self.starts[some]
+        return span_hashes(prefix_sums(_values(self.points, which), self.kept), starts, starts + self.k, self.kept)
+
+
+def _several(hashes: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether windows equal in all hashes stand in more than one record (lo to hi: ranks of a window's records)."""
+    order = np.lexsort(hashes) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    new = np.concatenate([[True], np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)])
+    cuts = np.flatnonzero(new)
+    least, most = np.minimum.reduceat(np.minimum(lo, hi)[order], cuts), np.maximum.reduceat(np.maximum(lo, hi)[order], cuts)
+    flags = np.empty(len(order), bool)
+    flags[order] = np.repeat(least != most, np.diff(np.append(cuts, len(order))))
+    return flags
 
 
 def _intervals(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +120,12 @@ def shared_spans(
     shared throughout, and a minimiser of one record only shares nothing.  For the rest one packed text of
     each kind travels to the bucket, where its windows are sorted and counted.  Equal texts so cost one row however
     often they stand.  A bucket with more than hot_windows windows is not gathered: its windows are counted
-    by an aggregation over window hashes instead, with the same result.
+    by an aggregation over window hashes instead, with the same result.  Windows are equal if two independent 64-bit
+    hashes agree, packed texts if their hash, length and minimiser do.
     """
     runs = cut(_runs(docs, doc, text, k, m))
     key = ["minimiser", "h", "n"]
-    classes = runs.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "start")).alias("rep"))
+    classes = runs.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "start")).alias("rep"), F.count("*").alias("c"))
     buckets = runs.groupBy("minimiser").agg(F.min("doc").alias("b_lo"), F.max("doc").alias("b_hi")).where("b_lo < b_hi").select("minimiser")
     classes = cut(classes.join(buckets, "minimiser", "left_semi"))
     whole = classes.where("lo < hi").select(*key, F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
@@ -127,25 +147,24 @@ def shared_spans(
         def counted(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
             n = t["n"].to_numpy().astype(np.int64)
-            hashes, which, offset = _window_hashes(t["packed"].to_pylist(), n, k, kept)
-            order = np.argsort(hashes, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+            windows = _Windows(t["packed"].to_pylist(), n, k, kept)
             # ranks of the record keys, so that any type can be compared
             names = pa.chunked_array([*t["lo"].chunks, *t["hi"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
-            lo, hi = names[: len(t)][which][order], names[len(t) :][which][order]
-            least, most = np.minimum.reduceat(np.minimum(lo, hi), cuts), np.maximum.reduceat(np.maximum(lo, hi), cuts)
-            flags = np.empty(len(hashes), bool)
-            flags[order] = np.repeat(least != most, np.diff(np.append(cuts, len(hashes))))
-            some = np.flatnonzero(flags & (t["lo"].to_numpy() == t["hi"].to_numpy())[which])
-            index, a, b = _intervals(which[some], offset[some])
+            lo, hi = names[: len(t)][windows.which], names[len(t) :][windows.which]
+            first = windows.hashes(0)
+            some = np.flatnonzero(_several([first], lo, hi))
+            if len(some):  # equal by a second hash too
+                some = some[_several([first[some], windows.hashes(1, some)], lo[some], hi[some])]
+            some = some[(t["lo"].to_numpy() == t["hi"].to_numpy())[windows.which[some]]]
+            index, a, b = _intervals(windows.which[some], windows.offset[some])
             rows = t.select(key).take(pa.array(index)).combine_chunks()
             yield from rows.append_column("a", pa.array(a.astype(np.int32))).append_column("b", pa.array(b.astype(np.int32))).to_batches()
 
-        held, windows = [], 0
+        held, held_windows = [], 0
         for b in batches:
             held.append(b)
-            windows += int(b.column(2).to_numpy().sum())
-            if windows < hot_windows:
+            held_windows += int(b.column(2).to_numpy().sum())
+            if held_windows < hot_windows:
                 continue
             t = pa.Table.from_batches(held)
             last = t["minimiser"][-1].as_py()
@@ -154,7 +173,7 @@ def shared_spans(
             if end:
                 yield from counted(t.slice(0, end))
             held = t.slice(end).to_batches()
-            windows = int(t["n"].to_numpy()[end:].sum())
+            held_windows = int(t["n"].to_numpy()[end:].sum())
         if held:
             yield from counted(pa.Table.from_batches(held))
 
@@ -165,20 +184,22 @@ def shared_spans(
             kept = Powers()
             for whole_batch in batches:
                 for b in batches_of(whole_batch, 5, 500_000):
-                    hashes, which, offset = _window_hashes(b.column(5).to_pylist(), b.column(2).to_numpy().astype(np.int64), k, kept)
-                    at = pa.array(which)
+                    windows = _Windows(b.column(5).to_pylist(), b.column(2).to_numpy().astype(np.int64), k, kept)
+                    at = pa.array(windows.which)
                     yield pa.RecordBatch.from_arrays(
-                        [*(b.column(i).take(at) for i in range(5)), _signed(hashes), pa.array(offset.astype(np.int32))], [*key, "lo", "hi", "wh", "at"]
+                        [*(b.column(i).take(at) for i in range(5)), _signed(windows.hashes(0)), _signed(windows.hashes(1)), pa.array(windows.offset.astype(np.int32))],
+                        [*key, "lo", "hi", "wh", "wi", "at"],
                     )
 
         each = packed.where("hot").select(*key, "lo", "hi", "packed").mapInArrow(
-            explode_windows, f"minimiser bigint, h bigint, n int, lo {kinds['lo']}, hi {kinds['hi']}, wh bigint, at int"
+            explode_windows, f"minimiser bigint, h bigint, n int, lo {kinds['lo']}, hi {kinds['hi']}, wh bigint, wi bigint, at int"
         )
-        both = each.groupBy("wh").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l < u").select("wh")
+        same = ["minimiser", "wh", "wi"]
+        both = each.groupBy(*same).agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l < u").select(*same)
         order = W.partitionBy(*key).orderBy("at")
-        found = each.where("lo = hi").join(both, "wh", "left_semi").withColumn("island", F.col("at") - F.row_number().over(order))
+        found = each.where("lo = hi").join(both, same, "left_semi").withColumn("island", F.col("at") - F.row_number().over(order))
         parts = parts.unionByName(found.groupBy(*key, "island").agg(F.min("at").alias("a"), F.max("at").alias("b")).drop("island"))
-    pieces = runs.join(whole.unionByName(parts), key).select("doc", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + k).alias("e")).distinct()
+    pieces = hot_join(runs, whole.unionByName(parts), key, counts=classes.select(*key, "c")).select("doc", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + k).alias("e")).distinct()
     before = F.max("e").over(W.partitionBy("doc").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(before, F.lit(0))))
     return pieces.select("doc", fresh.alias("x")).groupBy("doc").agg(F.sum("x").alias("shared")).select(F.col("doc").alias(doc), "shared")

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm import queries
 from factloom.llm.components import components
 from factloom.llm.hashing import window_minima
 from factloom.llm.leakage import RUN_MASKS, _held, find_leaks, seed_filter
@@ -91,6 +94,25 @@ def test_relocated_bodies(spark):
     assert rows(near_pairs(df, "id", "t")) == sorted(expected, key=str)
 
 
+def test_recall_at_each_similarity(spark):
+    """Relocated copies at overlaps from 0.6 to 0.95: addresses differ at every so many tokens."""
+    rng = random.Random(17)
+    data, every = [], (12, 13, 14, 16, 20, 22, 28, 40, 60, 110)
+    for step in every:
+        for _ in range(40):
+            base = [f"{''.join(rng.choice('abcdefghijklmn') for _ in range(4))}" for _ in range(330)]
+            for _ in range(2):
+                data.append(" ".join(f"DAT_{rng.randrange(16**8):08x}" if k % step == step - 1 else w for k, w in enumerate(base)))
+    s = sets(enumerate(data))
+    sim = {(a, a + 1): len(s[a] & s[a + 1]) / len(s[a] | s[a + 1]) for a in range(0, len(data), 2)}
+    expected = {p: x for p, x in sim.items() if x >= 0.6}
+    got = set(map(tuple, near_pairs(spark.createDataFrame(list(enumerate(data)), "id bigint, t string"), "id", "t").collect()))
+    assert got <= set(expected)
+    for low in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9):
+        here = [p for p, x in expected.items() if low <= x < low + 0.05]
+        assert here and sum(p in got for p in here) >= 0.95 * len(here), (low, len(here))
+
+
 def test_near_groups(spark, bodies):
     df = spark.createDataFrame(bodies, "id bigint, t string")
     s = sets(bodies)
@@ -365,3 +387,41 @@ def test_window_minima():
     x = np.random.default_rng(2).integers(0, 1000, 500).astype(np.uint64)
     for w in (1, 2, 7, 499, 500, 501):
         assert window_minima(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
+
+
+# --- registered queries ----------------------------------------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, name):
+    """Each query against its SQL; without one, what must hold of its rows."""
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    mine = Counter(map(tuple, got.select(*columns).collect()))
+    assert max(mine.values()) == 1
+    table = lambda t: f"'{SF}/{t}.parquet'"
+    db = duckdb.connect()
+    for t in ("observations", "function_facts", "documents", "eval_items"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM {table(t)}")
+    if name in queries.ORACLES:
+        assert mine == Counter(db.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall())
+    elif name == "p1_groups":
+        pairs = db.execute(queries.ORACLES["p1_found"]).fetchall()
+        links = Counter(x for p in pairs for x in p)
+        assert {r[columns.index("fact_id")]: r[columns.index("n_links")] for r in mine} == links
+        group = {r[columns.index("fact_id")]: r[columns.index("group_id")] for r in mine}
+        assert all(group[a] == group[b] for a, b in pairs)
+    elif name == "p3_records":
+        groups = db.execute(f"SELECT count(*) FROM ({queries.ORACLES['p3_found']})").fetchone()[0]
+        assert sum(mine.values()) == groups
+        assert all(0 < r[columns.index("probability")] < 1 for r in mine if r[columns.index("probability")] is not None)
+    elif name == "p8_pack":
+        assert {r[columns.index("doc_id")] for r in mine} == {d for (d,) in db.execute("SELECT doc_id FROM documents").fetchall()}
+    elif name == "p8_fill":
+        assert all(0 <= r[columns.index("used")] <= 2048 for r in mine)
+    elif name == "p9_leaks":
+        exact = Counter(i for _, i in db.execute(f"SELECT doc_id, item_id FROM ({queries.ORACLES['p9_found']})").fetchall())
+        assert {r[columns.index("item_id")]: r[columns.index("n_exact")] for r in mine if r[columns.index("n_exact")]} == exact
