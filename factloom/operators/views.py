@@ -44,6 +44,10 @@ OWNERLESS = (
     "base", "operator!=", "operator*", "operator+", "operator++", "operator-", "operator<<", "operator[]",
 )
 
+#: Session setting: the folder of store_observations.
+STORED = "spark.factloom.observations"
+COLUMNS = ("id", "subject", "predicate", "value", "confidence", "source", "status", "created_at", "superseded_by")
+
 
 def observations(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
     """All observations with canonical subjects and predicates.
@@ -51,6 +55,9 @@ def observations(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
     once: rows that were delivered twice come once.  That shuffles the whole table, so it is left to queries that
     count or list rows; maxima, sets and semi-joins don't need it, and their filters reach the scan.
     """
+    if stored := spark.conf.get(STORED, None):
+        rows = spark.read.parquet(stored).select(*COLUMNS)
+        return rows.distinct() if once else rows
     rows = table(spark, sf, "observations").select(
         "id", address_or_text(F.col("subject")).alias("subject"), canonical_predicate(F.col("predicate")).alias("predicate"),
         "value", "confidence", "source", "status", "created_at", "superseded_by",
@@ -58,6 +65,16 @@ def observations(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
     return rows.distinct() if once else rows
 
 
+def store_observations(spark: SparkSession, sf: str, path: str) -> None:
+    """Write the observations with canonical subjects and predicates, one folder per predicate, and read them from there from now on.
+
+    The setting STORED of the session names the folder; queries then read the predicates they need only, and no query
+    spells anything anew.  To be unset or renewed when observations are added.
+    """
+    observations(spark, sf).repartition("predicate", F.pmod(F.xxhash64("subject"), F.lit(16))).write.partitionBy("predicate").parquet(path)
+    spark.conf.set(STORED, path)
+
+
 def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     """All hypotheses with canonical subjects, each id once."""
     return table(spark, sf, "hypotheses").withColumn("subject", address_or_text(F.col("subject"))).dropDuplicates(["id"])

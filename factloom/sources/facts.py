@@ -29,8 +29,17 @@ INSTALLS = (
 
 
 def read_fact_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document file, with the schema stated (empty arrays would be inferred as text)."""
-    return spark.read.schema(FACT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """One row per document file, with the schema stated (empty arrays would be inferred as text).
+
+    A file that can't be read is a row of nulls with its text in ``_corrupt_record``; no file vanishes.
+    """
+    schema = f"{FACT_SCHEMA}, _corrupt_record string"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+
+
+def migrated(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """rows with the columns (name -> type, default) that an older version of their table lacks; others stay as they are."""
+    return rows.withColumns({c: F.lit(default).cast(kind) for c, (kind, default) in columns.items() if c not in rows.columns})
 
 
 def _address(x) -> str | None:

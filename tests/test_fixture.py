@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import updates as U
-from factloom.plans import inventory, maintenance, oracles, reference
+from factloom.plans import flows, inventory, maintenance, oracles, reference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = reference.QUERIES | inventory.QUERIES | maintenance.QUERIES
-ORACLES = oracles.ORACLES | inventory.ORACLES | maintenance.ORACLES
+QUERIES = reference.QUERIES | inventory.QUERIES | maintenance.QUERIES | flows.QUERIES
+ORACLES = oracles.ORACLES | inventory.ORACLES | maintenance.ORACLES | flows.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 DAY = dt.datetime(2025, 1, 1)
 GATE = "semantic_role 'renders frame' rejected: subject's provenance is not Application"
@@ -47,6 +47,9 @@ def functions():
         (UPDATE, "update", "undefined update(Snake * this, int)", body(f"  x = 1;\n  FUN_{COLLIDE[2:]}(x);\n  return;"), "Snake", False, False),
         (COLLIDE, "hit", "float hit(Wall *this)", body("  loop_all(1); return 1.0;"), "Wall", False, False), (RENDER, "draw", "void draw(int a)", body("  x = DAT_140009070 + 1;"), "Screen", False, False),
         (INIT, "draw", "void draw(int a)", body("  x = DAT_14000ffff + 1;"), "Screen", False, False), (CRT, "Screen", "Screen(void)", None, "Screen", True, False), (ARGV, "~Screen", "~Screen(void)", "", "Screen", False, True),
+        ("0x2000", "outer", "void outer(int param_1,int *param_2)", body("  if (param_1) {\n    inner((long)param_1 + 8,param_2);\n  }", "void outer(int param_1,int *param_2)"), None, False, False),
+        ("0x2010", "inner", "void inner(int param_1,int *param_2)", body("  *(int *)(param_1 + 4) = 1;\n  deep(param_1,param_2);\n  outer(1);", "void inner(int param_1,int *param_2)"), None, False, False),
+        ("0x2020", "deep", "void deep(int a,int *b)", body("  x = *(short *)(a + 2); y = *(int *)(b + 3); z = *(int *)b;", "void deep(int a,int *b)"), None, False, False),
     ]
     out = []
     for i, (a, n, s, b, o, c, d) in enumerate(rows):
@@ -96,8 +99,9 @@ def result(spark, program, name):
 #: Queries that have no row, or nearly none, on the given tables.
 RARE = (
     "f12_reserved_names", "f27_symbol_addresses", "f28_sized_data", "f28_confident_data", "f29_import_aliases", "j3_fingerprint_reuse", "j6_premise_links", "j7_gate_rejections", "j8_restated_roles", "j10_call_context",
-    "j17_named_calls", "j25_function_references", "m5_attach", "m21_reconsidered", "g2_reachable", "g5_provenance", "g10_import_chains", "g16_frontier", "g17_dispositions", "g18_diagnosis",
-    "u1_startup_only", "a13_thunks", "a15_method_collisions", "a16_class_methods", "k8_hints", "t9_crt_calls", "t39_this_owners", "c1_analyze_rows", "x61_strings", "j16_thunk_symbols",
+    "j17_named_calls", "j25_function_references", "m5_attach", "m21_reconsidered", "g10_import_chains", "g17_dispositions",
+    "u1_startup_only", "a13_thunks", "a15_method_collisions", "a16_class_methods", "k8_hints", "t9_crt_calls", "t39_this_owners", "c1_analyze_rows", "x61_strings", "j16_thunk_symbols", "t12_calls", "j14_resolved_calls",
+    "t30_dereferences", "a18_passed_offsets", "g13_field_facts", "g14_value_consumers", "u2_recoverable", "f8_substantive_bodies", "t23_parameters",
 )
 
 
@@ -128,11 +132,21 @@ def test_return_types_travel(spark, program):
     assert got == {LOOP: (COLLIDE, "float"), UPDATE: (COLLIDE, "float")}
 
 
+def test_values_flow(spark, program):
+    fields = {(r["subject"], r["pos"], r["field_offset"], r["width"], r["hops"]) for r in result(spark, program, "g13_field_facts")}
+    through_b = {("0x2020", 1, 12, 4, 0), ("0x2020", 1, 0, 4, 0), ("0x2010", 1, 12, 4, 1), ("0x2010", 1, 0, 4, 1), ("0x2000", 1, 12, 4, 2), ("0x2000", 1, 0, 4, 2)}
+    assert fields == {("0x2020", 0, 2, 2, 0), ("0x2010", 0, 4, 4, 0), ("0x2010", 0, 2, 2, 1), ("0x2000", 0, 12, 4, 1), ("0x2000", 0, 10, 2, 2)} | through_b
+    uses = {(r["subject"], r["pos"], r["target"], r["target_pos"], r["hops"]) for r in result(spark, program, "g14_value_consumers")}
+    assert uses == {("0x2000", 1, "0x2010", 1, 1), ("0x2000", 1, "0x2020", 1, 2), ("0x2010", 0, "0x2020", 0, 1), ("0x2010", 1, "0x2020", 1, 1)}
+    fits = {(r["subject"], r["callee"]): r["fits"] for r in result(spark, program, "j14_resolved_calls")}
+    assert fits["0x2000", "inner"] and fits["0x2010", "deep"] and not fits["0x2010", "outer"]
+
+
 def test_nested_parameters(spark, program):
     n = {r["name"]: r["n_params"] for r in result(spark, program, "t21_signatures")}
     assert n["main"] == 2 and n["update"] == 2 and n["loop_all"] == 0
     kinds = {r["type"]: r["n"] for r in result(spark, program, "t25_parameter_types")}
-    assert kinds["map<int, int> *"] == 1 and kinds["int"] == 3  # with a name twice, without one once
+    assert kinds["map<int, int> *"] == 1 and kinds["int"] == 6  # with a name five times, without one once
 
 
 def test_call_context(spark, program):

@@ -7,11 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from factloom.plans import inventory, maintenance, oracles, problems, reference
+from factloom.plans import flows, inventory, maintenance, oracles, problems, reference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = reference.QUERIES | inventory.QUERIES | maintenance.QUERIES | problems.QUERIES
-ORACLES = oracles.ORACLES | inventory.ORACLES | maintenance.ORACLES
+QUERIES = reference.QUERIES | inventory.QUERIES | maintenance.QUERIES | flows.QUERIES | problems.QUERIES
+ORACLES = oracles.ORACLES | inventory.ORACLES | maintenance.ORACLES | flows.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

@@ -71,3 +71,35 @@ def test_linker_log(spark, tmp_path):
 def test_text_sink(spark, tmp_path):
     S.write_texts(spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "file_name string, place int, text string"), str(tmp_path / "o"))
     assert [r.value for r in spark.read.text(str(tmp_path / "o" / "file_name=a")).collect()] == ["x", "y"]
+
+
+def test_corrupt_documents_stay(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(document(1)))
+    (tmp_path / "b.json").write_text('{"program": "q", "functions": [')
+    docs = S.read_fact_documents(spark, str(tmp_path)).cache()
+    assert [r.program for r in docs.where("_corrupt_record is null").collect()] == ["p"]
+    assert docs.where("_corrupt_record is not null").count() == 1
+    assert S.document_triples(docs).count() == 8
+
+
+def test_migration(spark):
+    old = spark.createDataFrame([(1, "x")], "id bigint, v string")
+    new = S.migrated(old, {"v": ("string", "y"), "status": ("string", "ACTIVE"), "superseded_by": ("bigint", None)})
+    assert [tuple(r) for r in new.collect()] == [(1, "x", "ACTIVE", None)] and new.schema["superseded_by"].dataType.simpleString() == "bigint"
+    assert S.migrated(new, {"status": ("string", "OTHER")}).columns == new.columns
+
+
+def test_stored_observations(spark, tmp_path):
+    from factloom.operators import views as V
+    from factloom.plans.reference import f3_live_facts, f4_latest_values
+
+    sf = "/root/testdata/sf0.001"
+    both = lambda: [sorted(map(str, q(spark, sf).collect())) for q in (f3_live_facts, f4_latest_values)]
+    plain = both()
+    V.store_observations(spark, sf, str(tmp_path / "obs"))
+    try:
+        assert both() == plain
+        plan = V.facts(V.observations(spark, sf), "has_name")._jdf.queryExecution().executedPlan().toString()
+        assert "predicate" in plan.split("PartitionFilters:")[1].split("]")[0]
+    finally:
+        spark.conf.unset(V.STORED)
