@@ -49,8 +49,10 @@ def startup_only(edges: DataFrame, entry: DataFrame, margin: int = 3) -> DataFra
     two = reach.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "root").limit(2)
     ranked = two.agg(F.reverse(F.sort_array(F.collect_list(F.struct("n", "root")))).alias("t")).where("size(t) = 2")
     main = cut(ranked.where(F.col("t")[0]["n"] >= F.col("t")[1]["n"] * margin).select(F.col("t")[0]["root"].alias("root")))
-    outside = reachable(edges, entry).select("node").join(reach.join(main, "root", "left_semi").select("node"), "node", "left_anti")
-    return outside.crossJoin(F.broadcast(main)).select("node")
+    whole = reachable(edges, entry).select("node")
+    if main.isEmpty():
+        return whole.limit(0)
+    return whole.join(reach.join(main, "root", "left_semi").select("node"), "node", "left_anti")
 
 
 def stale_cascade(dependencies: DataFrame, changed: DataFrame, states: DataFrame) -> DataFrame:

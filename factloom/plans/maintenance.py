@@ -209,6 +209,12 @@ def g11_return_types(spark: SparkSession, sf: str) -> DataFrame:
     return chains.join(ends, "target").select("subject", "target", "return_type")
 
 
+def k11_header_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The level at which each class's header can be emitted: after its base's; null for classes on or below a loop, which come last."""
+    links = table(spark, sf, "recovered_classes").select(canonical_class(F.col("name")).alias("name"), canonical_class(F.col("base")).alias("base"))
+    return hierarchies(links, "name", "base").select(F.col("node").alias("class_name"), F.when(F.col("state") == "tree", F.col("depth")).alias("level"))
+
+
 def g18_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     """What is known of each called function: origin, disposition, size, sole callee, and its callers by whether they are recovered."""
     obs = V.observations(spark, sf)
@@ -320,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         m2_supersede, m3_retract, m4_valid_evidence, m5_attach, m9_rejected, m13_dependencies, m21_reconsidered, j6_premise_links, j7_gate_rejections, c1_analyze_rows, c2_challenge_rows,
-        c3_resolve_rows, f26_mechanics, f29_import_aliases, j10_call_context, k8_hints, k2_queue, k6_seed_subjects, g11_return_types, g18_diagnosis, a15_method_collisions, a16_class_methods,
+        c3_resolve_rows, f26_mechanics, f29_import_aliases, j10_call_context, k8_hints, k2_queue, k6_seed_subjects, g11_return_types, k11_header_order, g18_diagnosis, a15_method_collisions, a16_class_methods,
         a19_trampolines, j15_symbol_table, j16_thunk_symbols, j17_named_calls, t6_identifiers, t7_data_symbols, t9_crt_calls, t24_parameter_names, t39_this_owners,
     )
 }
@@ -383,6 +389,7 @@ ORACLES = {
         "op AS (SELECT subject, '0x' || lower(h) AS target FROM typed WHERE type = 'undefined' AND h <> '')",
         "ch AS (SELECT subject, target FROM op UNION SELECT ch.subject, op.target FROM ch JOIN op ON op.subject = ch.target)", recursive=True)
     + "SELECT ch.subject, ch.target, t.type AS return_type FROM ch JOIN typed t ON t.subject = ch.target WHERE t.type NOT IN ('', 'undefined')",
+    "k11_header_order": "SELECT class_name, CASE WHEN state = 'tree' THEN depth END AS level FROM (" + O.ORACLES["p4_found"] + ")",
     "g18_diagnosis": _w(*O._ALL, O._DISPOSED, O.RC, O.SLOTS, "rec AS (SELECT DISTINCT address FROM slots WHERE address IS NOT NULL)", recursive=True)
     + """SELECT d.subject, disposition, size AS body_size, sole.dst AS sole_callee, n_recovered_callers, n_other_callers FROM disposed d JOIN (SELECT dst, count(*) FILTER (src IN (SELECT address FROM rec)) AS n_recovered_callers,
       count(*) FILTER (coalesce(src NOT IN (SELECT address FROM rec), true)) AS n_other_callers FROM calls GROUP BY 1) c ON c.dst = d.subject LEFT JOIN sized USING (subject) LEFT JOIN sole ON sole.src = d.subject""",
