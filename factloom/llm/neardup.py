@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int,
 
 def near_links(
     rows: DataFrame, key: str, text: str, size: int = 3, threshold: float = 0.6, least: int = 40, bands: int = 76, width: int = 4,
-    differ: int = 85, cell: int = 512,
+    differ: int = 85, cell: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts.
 
@@ -220,7 +220,7 @@ def near_pairs(rows: DataFrame, key: str, text: str, **settings) -> DataFrame:
     """(a, b), a < b: all pairs of rows whose texts are near duplicates, copies included (see near_links)."""
     members, links = near_links(rows, key, text, **settings)
     copies = members.where("copies > 1").withColumn("c", F.col("copies"))
-    left, right = _meet(copies.drop("copies"), "rep", settings.get("cell", 512))
+    left, right = _meet(copies.drop("copies"), "rep", settings.get("cell", 4096))
     same = left.join(right, ["rep", "x", "y"]).where("a < b").select("a", "b")
     of = lambda c: members.select(F.col("rep").alias(c), F.col("id").alias(f"{c}_id"))
     across = links.join(of("a"), "a").join(of("b"), "b")

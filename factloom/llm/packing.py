@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,25 +22,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Bytes that a rank file may have, since all executors get it.
+_MOST_RANKS = 64 << 20
+
+
 @lru_cache(maxsize=4)
-def _encoding(path: str):
-    """The tokenizer of a rank file, once per worker."""
-    import public_tokenizers
+def _encoding(ranks: bytes, pattern: str):
+    """The tokenizer of the content of a rank file, once per worker."""
     import tiktoken
 
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def _ranks(path: str) -> tuple[bytes, str]:
+    """(content of a rank file, pattern by which texts are split first)."""
+    import public_tokenizers
+
+    if os.path.getsize(path) > _MOST_RANKS:
+        raise ValueError(f"rank file of more than {_MOST_RANKS} bytes")
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return f.read(), public_tokenizers.PATTERN
 
 
 def token_counts(docs: DataFrame, doc: str, text: str, tokenizer: str | None = None) -> DataFrame:
     """(doc, tokens) of the whole texts; a null or empty text has none."""
-    path = tokenizer or default_tokenizer()
+    held = docs.sparkSession.sparkContext.broadcast(_ranks(tokenizer or default_tokenizer()))
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(*held.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc", "tokens"])

@@ -70,7 +70,7 @@ def bodies():
     return table
 
 
-@pytest.mark.parametrize("cell", [512, 3])
+@pytest.mark.parametrize("cell", [4096, 3])
 def test_near_pairs(spark, bodies, cell):
     df = spark.createDataFrame(bodies, "id bigint, t string").withColumn("text", F.lit("clash")).withColumn("n", F.lit(0))
     s = sets(bodies)
@@ -251,7 +251,7 @@ def test_packing(spark):
     placed = got.collect()
     import factloom.llm.packing as P
 
-    count = P._encoding(P.default_tokenizer()).encode_ordinary
+    count = P._encoding(*P._ranks(P.default_tokenizer())).encode_ordinary
     size = Counter()
     for r in placed:
         size[r.d] += r.tokens
