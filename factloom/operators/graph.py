@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut
+from factloom.session import cut, shared_path
 
 
 def reachable(edges: DataFrame, roots: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, depth): every node reachable from the roots (column node), with its least number of steps.
 
     edges: src, dst.  The frontier is joined with the edges and reduced to new nodes until none is left, so that
-    cycles end; limit bounds the steps.  Every round is checkpointed.
+    cycles end; limit bounds the steps.  Every round writes its frontier to a folder of its own under one table,
+    which so holds all that was seen.
     """
+    spark = edges.sparkSession
     edges = cut(edges.where("src is not null and dst is not null").distinct())
-    seen = cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while (limit is None or depth < limit) and not frontier.isEmpty():
+    first = roots.select("node").where("node is not null").distinct()
+    kind, base = first.schema["node"].dataType.simpleString(), shared_path(spark, "reach")
+    whole = lambda: spark.read.schema(f"node {kind}, depth int").parquet(base)
+    first.write.parquet(f"{base}/depth=0")
+    depth = 0
+    while limit is None or depth < limit:
+        frontier = spark.read.schema(f"node {kind}").parquet(f"{base}/depth={depth}")
+        if frontier.isEmpty():
+            break
+        ahead = frontier.hint("merge").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         depth += 1
-        ahead = frontier.select("node").hint("merge").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.hint("merge").join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        ahead.hint("merge").join(whole().select("node"), "node", "left_anti").write.parquet(f"{base}/depth={depth}")
+    return whole()
 
 
 def reach_by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
