@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int,
 
 def near_links(
     rows: DataFrame, key: str, text: str, size: int = 3, threshold: float = 0.6, least: int = 40, bands: int = 76, width: int = 4,
-    differ: int = 85, cell: int = 4096,
+    differ: int = 85, cell: int = 4096, least_hot: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts.
 
@@ -203,11 +203,14 @@ def near_links(
     signed = cut(_signatures(rows, key, text, size, least, bands, width))
     once = signed.select("id", "k1", "k2", "n").dropDuplicates(["id"])
     groups = once.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = once.join(groups, ["k1", "k2", "n"]).select("id", "rep", "copies")
+    rows_signed = signed.count()
+    same = ["k1", "k2", "n"]
+    members = hot_join(once, groups, same, counts=groups.select(*same, F.col("copies").alias("c")), total=rows_signed, least_hot=least_hot)
+    members = cut(members.select("id", "rep", "copies"))
     reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     banded = reps.select("id", F.explode("bands").alias("key"))
     counts = cut(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    met = cut(hot_join(banded, counts, ["key"], counts=counts, total=signed.count() * bands).join(reps.select("id", *_sketch("s")), "id"))
+    met = cut(hot_join(banded, counts, ["key"], counts=counts, total=rows_signed * bands, least_hot=least_hot).join(reps.select("id", *_sketch("s")), "id"))
     left, right = _meet(met, "key", cell)
     right = right.select("key", "x", "y", "b", *(F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)))
     apart = [F.bit_count(F.col(s).bitwiseXOR(F.col(t))) for s, t in zip(_sketch("s"), _sketch("t"), strict=True)]
@@ -231,9 +234,11 @@ def near_groups(rows: DataFrame, key: str, text: str, **settings) -> DataFrame:
     """(id, group_id, n_links): each row in a group of near duplicates, the group's least id, and to how many other
     rows it is linked (copies counted)."""
     members, links = near_links(rows, key, text, **settings)
+    hot = {"least_hot": settings.get("least_hot", 20_000)}
     weights = members.groupBy("rep").agg(F.max("copies").alias("copies"))
     each = links.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("o")))
-    near = each.join(weights.select(F.col("rep").alias("o"), "copies"), "o").groupBy("rep").agg(F.sum("copies").alias("near"))
-    roots = components(links, "a", "b").withColumnRenamed("node", "rep")
-    full = members.join(near, "rep", "left").join(roots, "rep", "left")
+    near = hot_join(each, weights.select(F.col("rep").alias("o"), "copies"), ["o"], **hot).groupBy("rep").agg(F.sum("copies").alias("near"))
+    linked = near.join(components(links, "a", "b", **hot).withColumnRenamed("node", "rep"), "rep")  # both have each node of a link once
+    # a group of copies may hold a third of all rows
+    full = hot_join(members, linked, ["rep"], "left", counts=weights.select("rep", F.col("copies").alias("c")), **hot)
     return full.select("id", F.coalesce("root", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0")

@@ -113,7 +113,8 @@ def test_recall_at_each_similarity(spark):
         assert here and all(p in got for p in here), (low, len(here), sum(p in got for p in here))
 
 
-def test_near_groups(spark, bodies):
+@pytest.mark.parametrize("least_hot", [20_000, 1])  # 1: whatever recurs is dealt over several tasks
+def test_near_groups(spark, bodies, least_hot):
     df = spark.createDataFrame(bodies, "id bigint, t string")
     s = sets(bodies)
     near = defaultdict(set)
@@ -121,7 +122,7 @@ def test_near_groups(spark, bodies):
         for b in s:
             if a != b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b]):
                 near[a].add(b)
-    got = {r.id: (r.group_id, r.n_links) for r in near_groups(df, "id", "t").collect()}
+    got = {r.id: (r.group_id, r.n_links) for r in near_groups(df, "id", "t", least_hot=least_hot).collect()}
     assert {i: n for i, (_, n) in got.items()} == {i: len(x) for i, x in near.items()}
     for a, x in near.items():
         assert all(got[a][0] == got[b][0] <= a for b in x)
@@ -152,9 +153,10 @@ def test_links_are_exact(spark, bodies):
         assert math.isclose(r.similarity, len(s[r.a] & s[r.b]) / len(s[r.a] | s[r.b]))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least_hot", [20_000, 1])
+def test_components(spark, least_hot):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, i) for i in range(201, 260)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b", least_hot).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, **dict.fromkeys(range(200, 260), 200)}
 
 
@@ -176,6 +178,8 @@ def test_model_trusts_good_sources(spark):
     schema = "id bigint, subject string, predicate string, value string, confidence double, source string, created_at timestamp_ntz, says boolean"
     df = spark.createDataFrame(facts(), schema)
     claims = [(r.subject, r.value, r.probability) for r in judged_values(df).collect()]
+    dealt = [(r.subject, r.value, r.probability) for r in judged_values(df, least_hot=1).collect()]
+    assert sorted(dealt) == [(s, v, pytest.approx(p)) for s, v, p in sorted(claims)]
     right = [p for _, v, p in claims if v == "right"]
     wrong = [p for _, v, p in claims if v != "right"]
     assert np.mean(right) > 0.8 > 0.4 > np.mean(wrong)
@@ -184,7 +188,7 @@ def test_model_trusts_good_sources(spark):
 def test_model_equals_plain_em(spark):
     data = facts()
     schema = "id bigint, subject string, predicate string, value string, confidence double, source string, created_at timestamp_ntz, says boolean"
-    patterns, quality = truth_model(_claims(_stated(spark.createDataFrame(data, schema)), least_hot=1), rounds=4, settled=0.0)
+    patterns, quality = truth_model(_claims(_stated(spark.createDataFrame(data, schema)), least_hot=1), rounds=4, settled=0.0, least_hot=1)
     got = {r.source: (r.sensitivity, r.specificity) for r in quality.collect()}
     named, spoken = defaultdict(set), defaultdict(set)
     for _, s, _, v, _, source, _, _ in data:
