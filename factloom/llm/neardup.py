@@ -20,6 +20,8 @@ _WORD = np.array([chr(c).isalnum() or c == 95 for c in range(128)] + [False])
 #: Bits of a shingle's hash that stay beside the number of its text in a slice.
 _BITS = 54
 _SLICE = 1 << (63 - _BITS)
+#: Arrivals that a round of signatures draws at least, and of one element at most.
+_DRAWS, _AHEAD = 20_000, 32
 #: Words of 64 bits in a sketch, one bit for each of the first registers.
 _SKETCH = 4
 
@@ -58,43 +60,33 @@ def shingles(texts: list[str], size: int, kept: Powers) -> tuple[np.ndarray, np.
 def prob_min_hash(keys: np.ndarray, weights: np.ndarray, n_texts: int, m: int) -> np.ndarray:
     """Signatures (n_texts x m): registers of two texts agree with the probability of their weighted Jaccard.
 
-    Every element is a Poisson process with its weight as rate, whose arrivals fall on random registers; a register
-    keeps the element that arrives first.  Arrivals are drawn in rounds, an element's only until it is later than
-    every register of its text can use (early termination).
+    keys: sorted, see shingles.  Every element is a Poisson process with its weight as rate, whose arrivals fall on
+    random registers; a register keeps the element that arrives first.  Arrivals are drawn in rounds, an element's only
+    until it is later than every register of its text (early termination); when few elements are left, a round draws
+    several arrivals of each.
     """
     text = (keys >> _U(_BITS)).astype(np.int64)
     element = mix(keys << _U(64 - _BITS))
     times = np.full(n_texts * m, np.inf)
     won = np.zeros(n_texts * m, _U)
-    total = np.bincount(text, weights, n_texts)
-    limit = m * (np.log(m) + 3) / np.maximum(total, 1e-9)
-    pending = (text, element, weights, np.zeros(len(keys)), np.zeros(len(keys), _U), np.zeros(len(keys), bool))
-    first = True
-    while len(pending[0]):
-        t_text, t_el, t_w, t_time, t_round, _ = pending
-        if first:
-            draw = mix(t_el + _U(1))
-            first = False
-            t_time = -np.log(((draw >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / t_w
-            t_round = np.ones(len(t_el), _U)
-        else:
-            draw = mix(t_el + t_round * _U(0xD1342543DE82EF95))
-        due = t_time <= limit[t_text]
-        flat = t_text[due] * m + (draw[due] % _U(m)).astype(np.int64)
-        np.minimum.at(times, flat, t_time[due])
-        best = times[flat] == t_time[due]
-        won[flat[best]] = t_el[due][best]
-        worst = times.reshape(n_texts, m).max(axis=1)
-        if due.any():
-            limit = np.minimum(limit, worst)
-        else:  # a register is still empty: wait longer
-            limit = np.where(np.isinf(worst), limit * 2, worst)
-        # those that were due draw their next arrival, the others wait or are given up
-        t_round = t_round + due.astype(_U)
-        again = mix(t_el + t_round * _U(0xA0761D6478BD642F))
-        t_time = np.where(due, t_time - np.log(((again >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / t_w, t_time)
-        stay = t_time <= np.where(np.isinf(worst), np.inf, worst)[t_text]
-        pending = tuple(x[stay] for x in (t_text, t_el, t_w, t_time, t_round, due))
+    clock, turn = np.zeros(len(keys)), 1
+    while len(text):
+        ahead = max(1, min(_AHEAD, _DRAWS // len(text)))
+        draw = mix(element[:, None] + np.arange(turn, turn + ahead, dtype=_U) * _U(0xD1342543DE82EF95))
+        # 40 bits of a draw give the time to the next arrival, the others its register
+        time = -np.log(((draw >> _U(24)).astype(np.float64) + 0.5) * 2.0**-40) / weights[:, None]
+        time[:, 0] += clock
+        np.cumsum(time, axis=1, out=time)
+        register = text[:, None] * m + ((draw & _U((1 << 24) - 1)) * _U(m) >> _U(24)).astype(np.int64)
+        row, column = np.nonzero(time < times[register])
+        flat, when = register[row, column], time[row, column]
+        np.minimum.at(times, flat, when)
+        best = times[flat] == when
+        won[flat[best]] = element[row[best]]
+        new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        worst = times.reshape(n_texts, m)[text[new]].max(axis=1)
+        stay = time[:, -1] <= np.repeat(worst, np.diff(np.append(new, len(text))))
+        text, element, weights, clock, turn = text[stay], element[stay], weights[stay], time[stay, -1], turn + ahead
     return won.reshape(n_texts, m)
 
 
