@@ -150,6 +150,15 @@ def _meet(rows: DataFrame, key: str, cell: int) -> tuple[DataFrame, DataFrame]:
     return left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b")
 
 
+def _sets(keys: np.ndarray, n_texts: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sizes) of the sets of texts ``which`` in a row, numbered by their places there; keys: see shingles."""
+    bounds = np.searchsorted(keys >> _U(_BITS), np.arange(n_texts + 1, dtype=_U))
+    sizes = np.diff(bounds)[which]
+    place = np.repeat(np.arange(len(which)), sizes)
+    at = np.arange(len(place)) + np.repeat(bounds[which] - (np.cumsum(sizes) - sizes), sizes)
+    return (place.astype(_U) << _U(_BITS)) | (keys[at] & _U((1 << _BITS) - 1)), sizes
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets overlap by threshold, with their similarity, counted from the whole texts."""
     bodies = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
@@ -164,11 +173,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, size: int,
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 for b in batches_of(whole.slice(at, _SLICE), 2, 1_000_000):
-                    x, _ = shingles(b.column(2).to_pylist(), size, kept)
-                    y, _ = shingles(b.column(3).to_pylist(), size, kept)
-                    number = lambda v: np.bincount((v >> _U(_BITS)).astype(np.int64), minlength=b.num_rows)  # noqa: B023, E731
-                    both = number(np.intersect1d(x, y, assume_unique=True))
-                    union = number(x) + number(y) - both
+                    # a text is in many pairs, but is cut into shingles once
+                    at = pa.concat_arrays([b.column(0), b.column(1)]).dictionary_encode().indices.to_numpy()
+                    once = pa.array(np.unique(at, return_index=True)[1])
+                    keys, _ = shingles(pa.concat_arrays([b.column(2), b.column(3)]).take(once).to_pylist(), size, kept)
+                    x, n_x = _sets(keys, len(once), at[: b.num_rows])
+                    y, n_y = _sets(keys, len(once), at[b.num_rows :])
+                    both = np.bincount((np.intersect1d(x, y, assume_unique=True) >> _U(_BITS)).astype(np.int64), minlength=b.num_rows)
+                    union = n_x + n_y - both
                     good = np.flatnonzero((union > 0) & (both * 1_000_000 >= least * union))
                     rows_at = pa.array(good)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows_at), b.column(1).take(rows_at), pa.array(both[good] / union[good])], ["a", "b", "similarity"])
